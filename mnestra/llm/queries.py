@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnestra.llm import pack, quality, tokenize
+from mnestra.llm import pack, pii, quality, tokenize
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p4_found": pii.p4_found,
+        "p4_redacted": pii.p4_redacted,
+        "p4_counts": pii.p4_counts,
         "p6_ids": tokenize.p6_ids,
         "p7_found": pack.p7_found,
         "p7_packed": pack.p7_packed,
