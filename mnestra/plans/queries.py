@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnestra.operators import references
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": references.p5_found, "p5_counts": references.p5_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return references.SQL
