@@ -123,7 +123,7 @@ AFTER = regex.compile(
     regex.I | regex.X,
 )
 _NOT_BEFORE = regex.compile(r"(?:\bproje[ck]t|\bproyecto|\bprojet|(?<!^)\bthe|^the|\bcluster|\bservice|\brepo|\bbranch|\bproduct|\bcodename|\bcode\s+name)\s+$", regex.I)
-_NOT_AFTER = regex.compile(r"^(?:\s+(?:cluster|service|server|project|queue|branch|team|tablets?|of\s|ships\b|street|road|lane|avenue|court|st\b|rd\b|weg\b|straße)|[-_+.%]?[\w.+-]*\s?(?:[@＠]|[(\[]at[)\]])|-\w|_\w|\.\w|\+\w)", regex.I)
+_NOT_AFTER = regex.compile(r"^(?:[ ]+(?:cluster|service|server|project|queue|branch|team|tablets?|of\s|ships\b|street|road|lane|avenue|court|st\b|rd\b|weg\b|straße)|[-_+.%]?[\w.+-]*\s?(?:[@＠]|[(\[]at[)\]])|-\w|_\w|\.\w|\+\w)", regex.I)
 
 
 class NameFinder:

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnestra.llm import pack, pii, quality, tokenize
+from mnestra.llm import pack, pairs, pii, quality, terms, tokenize
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": terms.p1_found,
+        "p1_terms": terms.p1_terms,
+        "p2_found": pairs.p2_found,
+        "p2_pairs": pairs.p2_pairs,
         "p4_found": pii.p4_found,
         "p4_redacted": pii.p4_redacted,
         "p4_counts": pii.p4_counts,
@@ -24,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return terms.SQL | pairs.SQL
