@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnestra.llm import pack, pairs, pii, quality, terms, tokenize
+from mnestra.llm import neighbours, pack, pairs, pii, quality, terms, tokenize
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_terms": terms.p1_terms,
         "p2_found": pairs.p2_found,
         "p2_pairs": pairs.p2_pairs,
+        "p3_found": neighbours.p3_found,
+        "p3_neighbours": neighbours.p3_neighbours,
         "p4_found": pii.p4_found,
         "p4_redacted": pii.p4_redacted,
         "p4_counts": pii.p4_counts,
