@@ -8,7 +8,7 @@ distance of their pivot orders, and what passes is ranked again by exact similar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -31,17 +31,17 @@ class IndexConfig:
     pivots and crowded inverted files are known; the smallest hashes of ids, so it doesn't depend on
     order. ``order``: pivots kept of a permutation. ``reach``: leading positions i < j are posted
     together if i + j is at most this. ``footrule``: share of the largest footrule distance up to
-    which a pair goes on. ``bits``: sign bits in which a pair may differ of 128; pairs of similarity
-    0.8 differ in 21 on average. ``list_size``: members of an inverted file beyond which it is split
+    which a pair goes on. ``bits``: sign bits in which a pair may differ of 128; None
+    takes 2.5 standard deviations above the mean of pairs at the least similarity asked for. ``list_size``: members of an inverted file beyond which it is split
     into blocks that meet pair by pair in tasks of their own.
     """
 
     pivots: int | None = None
     sample: int = 16_384
     order: int = 12
-    reach: int = 6
-    footrule: float = 0.85
-    bits: int = 38
+    reach: int = 7
+    footrule: float = 0.8
+    bits: int | None = None
     list_size: int = 16_384
     seed: int = 7
 
@@ -83,6 +83,12 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order * (order + 1) - 2 * common
 
 
+def sign_bits(floor: float) -> int:
+    """Of 128 random directions, how many may part two unit vectors of similarity ``floor``."""
+    share = float(np.arccos(np.clip(1 - (1 / max(floor, 0.2) - 1) / 2, -1, 1))) / np.pi
+    return int(np.ceil(128 * share + 2.5 * (128 * share * (1 - share)) ** 0.5))
+
+
 class PermutationIndex:
     """Pivots, sign directions and crowded inverted files, fitted on a bounded sample."""
 
@@ -176,9 +182,10 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("ref", F.xxhash64("id"))
 
 
-def fit(vectors: DataFrame, n_rows: int | None = None, config: IndexConfig = IndexConfig(), dim: int = 64) -> PermutationIndex | None:
+def fit(vectors: DataFrame, n_rows: int | None = None, floor: float = 0.8, config: IndexConfig = IndexConfig(), dim: int = 64) -> PermutationIndex | None:
     """The index's parameters from a bounded sample; None if no vector is usable."""
     n_rows = vectors.count() if n_rows is None else n_rows
+    config = config if config.bits is not None else replace(config, bits=sign_bits(floor))
     size = max(config.sample, config.pivots or 0)
     rows = _keyed(vectors).where(F.size("embedding") == dim).orderBy("ref").select("embedding", "deleted").limit(size).toArrow().to_batches()
     parts = [usable(b, dim)[1] for b in rows if b.num_rows]
@@ -271,7 +278,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.8, config: IndexCon
     count once. The index is approximate: recall against brute force is measured in the tests. An
     id with more than ``k`` exact copies of smaller id has no row: its neighbours are those copies.
     """
-    index = fit(vectors, config=config, dim=dim)
+    index = fit(vectors, floor=floor, config=config, dim=dim)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "id string, rank int, neighbour string, similarity double")
     exact = reranked(candidates(vectors, index, k), vectors, floor, dim)
