@@ -37,7 +37,7 @@ def parse_memory_type(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated parts without outer blanks; an empty text is one empty part."""
-    return F.transform(F.split(text, ",", -1), F.trim)
+    return F.transform(F.split(text, ",", -1), lambda part: F.trim(part))
 
 
 def tags_from_json(text: Column) -> Column:

@@ -183,9 +183,14 @@ def parse_query(text: str) -> Query:
         return phrase(column)
 
     def implicit(column: str | None) -> object:
+        first = at
         left = primary(column)
+        grouped = lex[first][1] == "(" or lex[at - 1][1] == ")"
         while at < len(lex) and not peek(")", "AND", "OR", "NOT"):
+            if grouped or peek("("):  # phrases stand side by side, groups need an operator
+                raise QuerySyntaxError(lex[at][1])
             left = join("and", left, primary(column))
+            grouped = lex[at - 1][1] == ")"
         return left
 
     def join(kind: str, left: object, right: object) -> object:
