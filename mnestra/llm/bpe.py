@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import regex
@@ -26,6 +27,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: pre-token pattern takes it. Pre-tokens never cross a chunk, so chunks can be cached.
 CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+#: Characters from which a text is encoded chunk by chunk instead of from a list of all its chunks.
+LONG = 1_000_000
+
 #: Entries of the chunk cache of a worker; beyond it the cache starts anew. Results don't depend on it.
 CACHE_ENTRIES = 400_000
 
@@ -36,7 +40,12 @@ class BytePairEncoder:
     def __init__(self, rank_file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        ending: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) > 1:
+                ending.setdefault(token[-2:], set()).add(len(token))
+        #: Of the last two bytes of a prefix, how long its last token may be.
+        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in ending.items()}
         self.pattern = regex.compile(PRE_TOKEN)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._stable: dict[tuple[int, int], bool] = {}
@@ -98,10 +107,11 @@ class BytePairEncoder:
     # -- prefix tables ------------------------------------------------------------------
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """The last token of each prefix of ``piece``; ``last`` has those known so far (index 0 is the first byte)."""
-        ranks, bytes_of = self.ranks, self.bytes_of
+        ranks, lengths = self.ranks, self.lengths
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(piece[start:end])
+            for n in lengths.get(piece[max(0, end - 2) : end], (1,)):
+                start = end - n
+                token = ranks.get(piece[start:end]) if start >= 0 else None
                 if token is None:
                     continue
                 if self.reachable(token) if start == 0 else self.stable(last[start - 1], token) and self.reachable(token):
@@ -133,11 +143,17 @@ class BytePairEncoder:
                 self._chunks[chunk] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> list[int] | array:
         """Ids of ``text`` as it stands; an empty list for null and empty texts."""
         if not text:
             return []
-        known, ids = self._chunks.get, []
+        known = self._chunks.get
+        if len(text) > LONG:
+            long_ids = array("i")
+            for m in CHUNK.finditer(text):
+                long_ids.extend(known(m.group()) or self.chunk_ids(m.group()))
+            return long_ids
+        ids: list[int] = []
         for chunk in CHUNK.findall(text):
             ids += known(chunk) or self.chunk_ids(chunk)
         return ids
@@ -147,6 +163,8 @@ class BytePairEncoder:
         if not text:
             return 0
         known = self._chunks.get
+        if len(text) > LONG:
+            return sum(len(known(m.group()) or self.chunk_ids(m.group())) for m in CHUNK.finditer(text))
         return sum([len(known(chunk) or self.chunk_ids(chunk)) for chunk in CHUNK.findall(text)])
 
 

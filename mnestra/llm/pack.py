@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,16 +84,17 @@ def pack(sized: DataFrame, id_col: str, size_col: str, capacity: Capacity = Capa
     items = sized.select(F.col(id_col), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")).withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
     kind = items.schema[id_col].dataType.simpleString()
 
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.drop_duplicates([id_col, "size"]).sort_values([id_col, "size"], kind="stable", ignore_index=True)
-        size = shard["size"].to_numpy("i8")
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.group_by([id_col, "size", "shard"]).aggregate([]).sort_by([("size", "descending"), (id_col, "ascending")])
+        size = shard["size"].to_numpy()
         pieces = np.maximum(1, -(-size // capacity.tokens))
         row = np.repeat(np.arange(len(size)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(capacity.tokens, size[row] - piece * capacity.tokens)
-        return pd.DataFrame({"shard": shard["shard"].to_numpy()[row], "container": best_fit(length, capacity, rule=rule), id_col: shard[id_col].to_numpy()[row], "piece": piece.astype("i4"), "n_pieces": pieces[row].astype("i4"), "size": length})
+        columns = [shard["shard"].take(row), pa.array(best_fit(length, capacity, rule=rule)), shard[id_col].take(row), pa.array(piece.astype("i4")), pa.array(pieces[row].astype("i4")), pa.array(length)]
+        return pa.Table.from_arrays(columns, names=["shard", "container", id_col, "piece", "n_pieces", "size"])
 
-    return items.groupBy("shard").applyInPandas(run, f"shard int, container long, `{id_col}` {kind}, piece int, n_pieces int, size long")
+    return items.groupBy("shard").applyInArrow(run, f"shard int, container long, `{id_col}` {kind}, piece int, n_pieces int, size long")
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

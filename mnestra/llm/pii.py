@@ -7,6 +7,7 @@ better scored stays. ``redact`` puts a typed placeholder in place of each.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ _LINK = r"(?:(?:du|de\s+la|de\s+l['’]|des|de|d['’]|del|de\s+los|de\s+las|la|
 ADDRESS = [
     regex.compile(rf"(?<![\w.,/-])\d{{1,4}}[ \xa0]?[a-z]?[ \xa0](?:{_W}[ \xa0]){{1,3}}?(?:street|st\.|st|road|rd|lane|ln|avenue|ave|court|ct|crescent|close|drive|way|terrace|square|boulevard|mews|grove|gardens)(?![\w-])", regex.I),
     regex.compile(rf"(?<![\w.,/-])\d{{1,4}}(?:[ \xa0]?(?:bis|ter|quater|[a-z]))?,?[ \xa0](?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|quai|route|passage|cours)[ \xa0]{_LINK}?(?:(?:\p{{Lu}}[\p{{L}}'’\-]*)(?:[ \xa0]\p{{Lu}}[\p{{L}}'’\-]*){{0,2}}|(?i:{_W}))(?![\w])", 0),
-    regex.compile(rf"(?<![\w-])(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|carrera|ronda|travesía)[ \xa0]?{_LINK}?{_W}(?:[ \xa0]{_W})?,?[ \xa0](?:n[°º][ \xa0]?)?\d{{1,4}}(?:[ \xa0]?[a-z])?(?![\w.]\w|\w)", regex.I),
+    regex.compile(rf"(?<![\w-])(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|carrera|ronda|travesía)[ \xa0]?{_LINK}?{_W}(?:[ \xa0]{_W})?,?[ \xa0](?:n[°º][ \xa0]?)?\d{{1,4}}[a-z]?(?![.,]\d|\w)", regex.I),
     regex.compile(rf"(?<![\w-])(?:[\p{{L}}-]{{3,}}(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|pfad|chaussee)|{_W}er[ \xa0](?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer))[ \xa0]\d{{1,4}}(?:[ \xa0]?[a-h](?!\w))?(?!\w|\.\d)", regex.I),
 ]
 _ADDRESS_BEFORE = regex.compile(r"(?:lives?\s+at|moved\s+to|go\s+to|ship\S*(?:\s+\S+){0,4}\s+to|laptop\s+to|wohnt\b.{0,24}|vive\s+en|habite(?:\s+au)?|address|adresse|dirección|anschrift|in\s+der\s+Nähe,|,)\s*[:=]?\s*$", regex.I)
@@ -196,11 +197,14 @@ def find_spans(text: str | None, names: NameFinder) -> list[Span]:
                 score = 0.6 + 0.3 * bool(_ADDRESS_BEFORE.search(text[max(0, m.start() - 40) : m.start()])) - 0.5 * bool(_NOT_STREET.search(m.group()))
                 spans.append(Span(*m.span(), "address", score, "street and number"))
     spans += names.find(text)
-    out: list[Span] = []
+    out: list[Span] = []  # kept in order; they don't overlap, so a span's neighbours decide
+    starts: list[int] = []
     for s in sorted((s for s in spans if s.score >= THRESHOLD), key=lambda s: (-_RANK[s.kind], -s.score, s.start - s.end, s.start)):
-        if all(s.end <= t.start or t.end <= s.start for t in out):
-            out.append(s)
-    return sorted(out, key=lambda s: s.start)
+        i = bisect(starts, s.start)
+        if (i == 0 or out[i - 1].end <= s.start) and (i == len(out) or s.end <= starts[i]):
+            out.insert(i, s)
+            starts.insert(i, s.start)
+    return out
 
 
 _RANK = {"email": 3, "id_number": 2, "address": 1, "phone": 1, "name": 0}
@@ -246,7 +250,7 @@ def _finder(given: tuple[str, ...], family: tuple[str, ...]) -> NameFinder:
 
 
 def _parts(name_parts: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    rows = name_parts.select(F.trim("name_part"), F.lower(F.trim("part_role"))).where("name_part <> ''").distinct().limit(MOST_NAME_PARTS + 1).collect()
+    rows = name_parts.select(F.trim("name_part"), F.lower(F.trim("part_role"))).where("trim(name_part) <> ''").distinct().limit(MOST_NAME_PARTS + 1).collect()
     if len(rows) > MOST_NAME_PARTS:
         raise ValueError(f"more than {MOST_NAME_PARTS} name parts")
     return tuple(sorted(r[0] for r in rows if r[1] == "given")), tuple(sorted(r[0] for r in rows if r[1] != "given"))

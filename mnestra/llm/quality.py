@@ -7,6 +7,7 @@ statistics of all documents at once, without a loop over documents or characters
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -23,6 +24,9 @@ from mnestra.sources.tables import table
 #: Bytes of text worked on at a time; some 40 bytes for each are held.
 SLICE_BYTES = 1_000_000
 
+#: Characters from which a text is worked on in parts.
+LONG = 1_000_000
+
 #: The list of common words is shared with every task; more than this many is refused.
 MOST_COMMON_WORDS = 100_000
 
@@ -30,6 +34,7 @@ SPACE, BREAK, LETTER, DIGIT, PUNCT, SYMBOL = range(6)
 # Signs that plain writing uses, and signs of line ends, sentence ends, bullets and cells.
 _PLAIN = set(".,;:!?()[]'\"%/-&+=°§–—‐‑’‘“”„«»‚…·|•½¼¾±×⁻")
 _BREAKS = set("\n\r\x0b\x0c\x85\u2028\u2029")
+_LINE_END = re.compile("[" + "".join(sorted(_BREAKS)) + "]")
 _STOPS = ".!?…。"
 _LINE_STOPS = _STOPS + ":\"”»"
 _BULLETS = "-–—*•·‣▪o"
@@ -108,8 +113,43 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_statistics(texts: list[str | None], common: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts of each text; zeros for null, empty and blank ones."""
+def _parts(text: str) -> Iterator[str]:
+    """Pieces of a long text: cut at line breaks, else at blanks, else anywhere."""
+    start = 0
+    while start < len(text):
+        stop = min(len(text), start + LONG)
+        cut = stop if stop == len(text) else max(text.rfind("\n", start, stop), text.rfind("\r", start, stop)) + 1 or text.rfind(" ", start, stop) + 1 or stop
+        yield text[start:cut]
+        start = cut
+
+
+def long_statistics(text: str, common: np.ndarray) -> dict[str, np.ndarray]:
+    """``text_statistics`` of one long text, part by part: sums of the parts' counts, distinct tokens over all parts."""
+    out: dict[str, np.ndarray] = {}
+    seen = np.zeros(0, "u8")
+    cuts, begun = 0, False  # lines that a cut made two; whether the last line so far has something on it
+    for part in _parts(text):
+        lines = _LINE_END.split(part)
+        cuts += begun and not lines[0].isspace() and lines[0] != ""
+        begun = (begun and len(lines) == 1) or not (lines[-1].isspace() or lines[-1] == "")
+        tokens: list[np.ndarray] = []
+        for name, n in text_statistics([part], common, tokens).items():
+            out[name] = out.get(name, 0) + n
+        seen = np.union1d(seen, tokens[0])
+    out["distinct"] = np.array([len(seen)], "f8")
+    out["lines"] = np.maximum(out["lines"] - cuts, 1)
+    return out
+
+
+def text_statistics(texts: list[str | None], common: np.ndarray, tokens: list[np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Counts of each text; zeros for null, empty and blank ones. ``tokens`` gets the hashes of all tokens."""
+    long = [i for i, t in enumerate(texts) if t and len(t) > LONG]
+    if long:
+        out = text_statistics([None if i in set(long) else t for i, t in enumerate(texts)], common)
+        for i in long:
+            for name, n in long_statistics(texts[i], common).items():
+                out[name][i] = n[0]
+        return out
     kind_of, lower_of, vowel_of, hex_of = _tables()
     n = len(texts)
     # A line break before and after each text keeps runs apart; it belongs to no run.
@@ -134,6 +174,8 @@ def text_statistics(texts: list[str | None], common: np.ndarray) -> dict[str, np
     ts, te = _runs(kind >= LETTER)
     token_len, token_letters, token_digits = te - ts, letters[te] - letters[ts], digits[te] - digits[ts]
     token_hash = _hashes(lower, ts, te)
+    if tokens is not None:
+        tokens.append(np.unique(token_hash >> np.uint64(24)))
     last = code[te - 1]
     token_doc = np.searchsorted(first, ts, "right").astype("u8")
     keyed = np.sort((token_doc << np.uint64(40)) | (token_hash >> np.uint64(24)))  # a slice has far fewer than 2**24 texts
@@ -169,6 +211,7 @@ def text_statistics(texts: list[str | None], common: np.ndarray) -> dict[str, np
     out["lines"], out["stopped_lines"] = per_doc(ls), per_doc(ls, stops)
     head_len, head_digits, head_letters, head_last = token_len[begin], token_digits[begin], token_letters[begin], last[begin]
     counter = (head_len <= 5) & _one_of(head_last, ").") | (head_len <= 4) & (head_digits == head_len)
+    out["symbols"] -= per_doc(ls, (head_len == 1) & _one_of(head_last, _BULLETS) & (kind[ts[begin]] == SYMBOL))  # a bullet is no damage
     out["bullet_lines"] = per_doc(ls, counter | (head_len == 1) & _one_of(head_last, _BULLETS))
     # rows: cells set apart by signs with no blank behind them or by wide gaps
     tight = np.zeros(len(code), bool)

@@ -83,7 +83,7 @@ def _rows(terms: np.ndarray, numbers: np.ndarray, names: list[str], chunk: int)
 def term_bitmaps(records: DataFrame) -> DataFrame:
     """``(term, chunk, container, cardinality, n_occurrences)`` of ``(record, terms)`` rows.
 
-    Null and empty term lists give nothing. A record's repeated term is one bit and as many
+    Null and empty term lists and null terms give nothing. A record's repeated term is one bit and as many
     occurrences. A chunk's containers are put out once 65,536 records are read, so a task holds the
     terms of one chunk; every record is in one chunk, so no two tasks write a chunk.
     """
@@ -114,7 +114,7 @@ def term_bitmaps(records: DataFrame) -> DataFrame:
         if terms:
             yield flush(first >> RUN_BITS)
 
-    return records.select("terms").mapInArrow(run, _SHAPE)
+    return records.select(F.filter("terms", lambda t: t.isNotNull()).alias("terms")).mapInArrow(run, _SHAPE)
 
 
 def merge_bitmaps(bitmaps: DataFrame) -> DataFrame:
