@@ -37,7 +37,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, deletes: DataFrame) -
     references of a hot key are dealt over ``SALTS`` parts and its validity row is repeated in each.
     Hot keys come from counts combined before their shuffle; there are under ``HOT_SHARE`` of them.
     """
-    refs = refs.where("key IS NOT NULL")
+    refs = refs.select("src_table", "row_key", "parent", "key", "ref_time").where("key IS NOT NULL")
     counted = refs.groupBy("parent", "key").agg(F.count("*").alias("n"))
     hot = counted.where(F.col("n") * HOT_SHARE > refs.agg(F.count("*").alias("n")).scalar()).select("parent", "key", F.lit(True).alias("hot"))
     salted = refs.join(F.broadcast(hot), ["parent", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_key", "ref_time"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
