@@ -183,7 +183,7 @@ def text_statistics(texts: list[str | None], common: np.ndarray, tokens: list[np
     fresh[1:] = keyed[1:] != keyed[:-1]
     out["distinct"] = np.bincount((keyed[fresh] >> np.uint64(40)).astype("i8"), minlength=n + 1)[1 : n + 1].astype("f8")
     out["tokens"] = per_doc(ts)
-    sentence = _one_of(last, _STOPS) & (token_len >= 4) & (token_letters + token_digits >= 2)
+    sentence = _one_of(last, _STOPS) & (token_len >= 4) & ((token_letters >= 3) | (token_digits >= 1))  # not n.d. or Ex.
     out["sentences"] = per_doc(ts, sentence)
     hexa = _sums(hex_of[code])
     out["hex_tokens"] = per_doc(ts, (hexa[te] - hexa[ts] == token_len) & ((token_len == 2) | (token_len == 8)))
@@ -247,7 +247,7 @@ RULES: list[tuple[str, str, Callable[[SimpleNamespace], np.ndarray]]] = [
     ("junk", "mean word length", lambda x: x.word_letters > 10.5 * x.words),
     ("table", "rows of cells", lambda x: x.row_tokens >= 0.5 * x.tokens),
     ("junk", "mean token length", lambda x: x.dark > 16 * x.tokens),
-    ("prose", "sentences", lambda x: x.sentences >= 0.02 * x.tokens),
+    ("prose", "sentences", lambda x: x.sentences >= 0.012 * x.tokens),
     ("list", "entries set apart by semicolons", lambda x: x.semicolons >= 0.1 * x.tokens),
     ("list", "short lines without sentence ends", lambda x: x.entry_tokens >= 0.5 * x.tokens),
     ("junk", "no sentence, entry or common word", lambda x: (x.common_words < 0.1 * x.words) & (x.tokens > 14 * x.lines)),
