@@ -86,28 +86,32 @@ CARD = regex.compile(r"(?<![\w.+/-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w]|-\w
 IBAN = regex.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z\d]{4}){2,7}(?:[ ]?[A-Z\d]{1,3})?(?!\w)")
 DNI = regex.compile(r"(?<![\w.+/-])\d{8}-?[A-Z](?!\w|-\w)")
 
+# Particles of names, and capitalised words that begin a phrase and are no name.
+_PARTICLES = "de|von|van|del|della|di|du|der|den|ter|zu|da|dos|la|le"
+_NO_NAME = (
+    "the a an and or we you they he she it this that these those see set pin use send ship call ask new kept form caller name notes signed yesterday today tomorrow interview invoice background "
+    "emergency contact check draft my our your his her their in on at to of for from with by user users owner always never decided decision agreed steps runbook build ticket order image project "
+    "team lane section page step note dob unknown ssn nir dni id passport reisepass steuer tax tel fax phone mail email mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señora señor "
+    "señorita sra sr sir la el le les los las der die das ein eine un une una meine mein kollegin kollege mon ma mi cliente client monday tuesday wednesday thursday friday saturday sunday mondays "
+    "tuesdays wednesdays thursdays fridays january february march april may june july august september october november december utc sql api road street calle avda avenida plaza rue"
+)
+#: Not one of those words.
+_NO = r"(?!(?i:" + "|".join(_NO_NAME.split()) + r")(?![\p{L}'’-]))"
+
 # -- address --------------------------------------------------------------------------------
 _W = r"[\p{L}][\p{L}'’\-]*"
 _LINK = r"(?:(?:du|de\s+la|de\s+l['’]|des|de|d['’]|del|de\s+los|de\s+las|la|le|el|las|los)\s+)"
 ADDRESS = [
     regex.compile(rf"(?<![\w.,/-])\d{{1,4}}[ \xa0]?[a-z]?[ \xa0](?:{_W}[ \xa0]){{1,3}}?(?:street|st\.|st|road|rd|lane|ln|avenue|ave|court|ct|crescent|close|drive|way|terrace|square|boulevard|mews|grove|gardens)(?![\w-])", regex.I),
-    regex.compile(rf"(?<![\w.,/-])\d{{1,4}}(?:[ \xa0]?(?:bis|ter|quater|[a-z]))?,?[ \xa0](?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|quai|route|passage|cours)[ \xa0]{_LINK}?(?:(?:\p{{Lu}}[\p{{L}}'’\-]*)(?:[ \xa0]\p{{Lu}}[\p{{L}}'’\-]*){{0,2}}|(?i:{_W}))(?![\w])", 0),
+    regex.compile(rf"(?<![\w.,/-])\d{{1,4}}(?:[ \xa0]?(?:bis|ter|quater|[a-z]))?,?[ \xa0](?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|allée|quai|route|passage|cours)[ \xa0]{_LINK}?(?:(?:\p{{Lu}}[\p{{L}}'’\-]*)(?:[ \xa0]{_NO}\p{{Lu}}[\p{{L}}'’\-]*){{0,2}}|(?i:{_W}))(?![\w])", 0),
     regex.compile(rf"(?<![\w-])(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|carrera|ronda|travesía)[ \xa0]?{_LINK}?{_W}(?:[ \xa0]{_W})?,?[ \xa0](?:n[°º][ \xa0]?)?\d{{1,4}}[a-z]?(?![.,]\d|\w)", regex.I),
     regex.compile(rf"(?<![\w-])(?:[\p{{L}}-]{{3,}}(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|pfad|chaussee)|{_W}er[ \xa0](?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer))[ \xa0]\d{{1,4}}(?:[ \xa0]?[a-h](?!\w))?(?!\w|\.\d)", regex.I),
 ]
 _ADDRESS_BEFORE = regex.compile(r"(?:lives?\s+at|moved\s+to|go\s+to|ship\S*(?:\s+\S+){0,4}\s+to|laptop\s+to|wohnt\b.{0,24}|vive\s+en|habite(?:\s+au)?|address|adresse|dirección|anschrift|in\s+der\s+Nähe,|,)\s*[:=]?\s*$", regex.I)
+_LAST_WORD = regex.compile(r"(?<=[\p{L}'’]{3})[ ](\p{Lu}[\p{L}'’-]+)\Z")
 _NOT_STREET = regex.compile(r"\b(?:retry|percent|minutes?|hours?|days?|jobs?|seats?|bullet|tenants?|map|of|the|until|and|or|to)\b", regex.I)
 
 # -- name -----------------------------------------------------------------------------------
-# Particles of names, and capitalised words that begin a phrase and are no name.
-_PARTICLES = "de|von|van|del|della|di|du|der|den|ter|zu|da|dos|la|le"
-_NO_NAME = (
-    "the a an and or we you they he she it this that these those see set pin use send ship call ask new kept form caller name notes signed yesterday today tomorrow interview invoice background "
-    "emergency contact check draft my our your his her their in on at to of for from with by user users owner always never decided decision agreed steps runbook build ticket order image project "
-    "team lane section page step note dob unknown ssn nir dni id passport reisepass steuer tax tel fax phone mail email mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señora señor "
-    "señorita sra sr sir la el le les los las der die das ein eine un une una meine mein kollegin kollege mon ma mi cliente client monday tuesday wednesday thursday friday saturday sunday mondays "
-    "tuesdays wednesdays thursdays fridays january february march april may june july august september october november december utc sql api road street calle avda avenida plaza rue"
-)
 #: Forms of address go before a name and are no part of it.
 TITLE = regex.compile(r"(?<!\w)(?:(?i:mr|mrs|ms|miss|dr|prof|herrn?|frau|mme|mlle|monsieur|madame|señora?|señorita|sra?|sir)\.?)\s+$")
 _FRENCH_M = regex.compile(r"M\.\s")
@@ -124,7 +128,7 @@ AFTER = regex.compile(
     regex.I | regex.X,
 )
 _NOT_BEFORE = regex.compile(r"(?:\bproje[ck]t|\bproyecto|\bprojet|(?<!^)\bthe|^the|\bcluster|\bservice|\brepo|\bbranch|\bproduct|\bcodename|\bcode\s+name)\s+$", regex.I)
-_NOT_AFTER = regex.compile(r"^(?:[ ]+(?:cluster|service|server|project|queue|branch|team|tablets?|of\s|ships\b|street|road|lane|avenue|court|st\b|rd\b|weg\b|straße)|[-_+.%]?[\w.+-]*\s?(?:[@＠]|[(\[]at[)\]])|-\w|_\w|\.\w|\+\w)", regex.I)
+_NOT_AFTER = regex.compile(r"^(?:[ ]+(?:cluster|service|server|project|queue|branch|team|tablets?|of\s|ships\b|street|road|lane|avenue|court|st\b|rd\b|weg\b|straße)|[-_+.%]?[\w.+-]*(?:[@＠]|[ ][@＠][ ]|[ ]?[(\[]at[)\]])|-\w|_\w|\.\w|\+\w)", regex.I)
 
 
 class NameFinder:
@@ -132,15 +136,15 @@ class NameFinder:
 
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = {x.lower() for x in given}, {x.lower() for x in family}
+        self.listed = self.given | self.family
         listed = r"\L<listed>"
-        no = r"(?!(?i:" + "|".join(_NO_NAME.split()) + r")(?![\p{L}'’-]))"
-        word = rf"(?:(?i:{listed})(?![\p{{L}}\d])|{no}\p{{Lu}}[\p{{L}}'’]*\p{{L}}(?![\p{{L}}\d]))"
+        word = rf"(?:(?i:{listed})(?![\p{{L}}\d])|{_NO}\p{{Lu}}[\p{{L}}'’]*\p{{L}}(?![\p{{L}}\d]))"
         part = rf"{word}(?:-{word})?"
         initial = r"\p{Lu}\."
         link = rf"(?:(?:{_PARTICLES})\s){{0,2}}"
         self.form = regex.compile(
             rf"(?<![\p{{L}}\d@＠_.+'’-])(?:(?:{initial}\s?){{1,2}}(?<=\s){link}{part}|{part}(?:,\s{part}(?:\s{initial})?|(?:\s{initial}){{0,2}}\s{link}{part}|(?:\s{initial})+)?)",
-            listed=sorted(self.given | self.family) or ["\0"],
+            listed=sorted(self.listed) or ["\0"],
         )
         self.words = regex.compile(r"\p{L}[\p{L}'’]*(\.)?")
         self.first = regex.compile(r"[\p{L}'’.]+")
@@ -194,8 +198,11 @@ def find_spans(text: str | None, names: NameFinder) -> list[Span]:
         spans += _numbers(text)
         for pattern in ADDRESS:
             for m in pattern.finditer(text):
+                end = m.end()
+                while (last := _LAST_WORD.search(text, m.start(), end)) and last[1].lower() in names.listed:
+                    end = last.start()  # a person named right behind the street
                 score = 0.6 + 0.3 * bool(_ADDRESS_BEFORE.search(text[max(0, m.start() - 40) : m.start()])) - 0.5 * bool(_NOT_STREET.search(m.group()))
-                spans.append(Span(*m.span(), "address", score, "street and number"))
+                spans.append(Span(m.start(), end, "address", score, "street and number"))
     spans += names.find(text)
     out: list[Span] = []  # kept in order; they don't overlap, so a span's neighbours decide
     starts: list[int] = []
