@@ -144,7 +144,7 @@ class NameFinder:
         link = rf"(?:(?:{_PARTICLES})\s){{0,2}}"
         self.form = regex.compile(
             rf"(?<![\p{{L}}\d@＠_.+'’-])(?:(?:{initial}\s?){{1,2}}(?<=\s){link}{part}|{part}(?:,\s{part}(?:\s{initial})?|(?:\s{initial}){{0,2}}\s{link}{part}|(?:\s{initial})+)?)",
-            listed=sorted(self.listed) or ["\0"],
+            listed=sorted(self.listed) or ["\ue000\ue000"],
         )
         self.words = regex.compile(r"\p{L}[\p{L}'’]*(\.)?")
         self.first = regex.compile(r"[\p{L}'’.]+")
@@ -167,9 +167,16 @@ class NameFinder:
             return 0.5 if initials and found[1:2] == "." else 0.45 if other else 0.3 if given else 0.2
         return 0.2 if other > 1 else 0.2 if initials else 0.1
 
-    def find(self, text: str) -> Iterator[Span]:
-        at = 0
-        while m := self.form.search(text, at):
+    def find(self, text: str, taken: list[Span] = ()) -> Iterator[Span]:
+        """Names outside ``taken`` spans, which stay visible as context."""
+        free, at = text, 0
+        if taken:
+            parts, end = [], 0
+            for s in taken:
+                parts += [text[end : s.start], "\0" * (s.end - s.start)]
+                end = s.end
+            free = "".join([*parts, text[end:]])
+        while m := self.form.search(free, at):
             start, end, found = m.start(), m.end(), m.group()
             before, after = text[max(0, start - 40) : start], text[end : end + 60]
             titled = bool(TITLE.search(before))
@@ -184,7 +191,7 @@ class NameFinder:
                 yield Span(start, end, "name", min(score, 1.0), "name in context")
                 at = end
             else:
-                at = start + self.first.match(found).end()  # the first word may have hidden a name behind it
+                at = start + (w.end() if (w := self.first.match(found)) else 1)  # the first word may have hidden a name behind it
 
 
 def find_spans(text: str | None, names: NameFinder) -> list[Span]:
@@ -203,8 +210,13 @@ def find_spans(text: str | None, names: NameFinder) -> list[Span]:
                     end = last.start()  # a person named right behind the street
                 score = 0.6 + 0.3 * bool(_ADDRESS_BEFORE.search(text[max(0, m.start() - 40) : m.start()])) - 0.5 * bool(_NOT_STREET.search(m.group()))
                 spans.append(Span(m.start(), end, "address", score, "street and number"))
-    spans += names.find(text)
-    out: list[Span] = []  # kept in order; they don't overlap, so a span's neighbours decide
+    taken = _apart(spans)
+    return _apart([*taken, *names.find(text, taken)])
+
+
+def _apart(spans: list[Span]) -> list[Span]:
+    """Spans at or above the threshold in order; of overlapping ones that of the surer kind, the better score, the greater length."""
+    out: list[Span] = []  # in order and apart, so a span's neighbours decide
     starts: list[int] = []
     for s in sorted((s for s in spans if s.score >= THRESHOLD), key=lambda s: (-_RANK[s.kind], -s.score, s.start - s.end, s.start)):
         i = bisect(starts, s.start)

@@ -24,6 +24,7 @@ CASES = {
     "wohnt Birkener Str. 160, 00684 Ort; oder Ahornallee 166b": [("address", "Birkener Str. 160"), ("address", "Ahornallee 166b")],
     "habite 235 bis, rue de la Verrerie, 00736 V": [("address", "235 bis, rue de la Verrerie")],
     "holder lives at 151 avenue du Pont Vieux The router; at 137, rue des Tilleuls Decided: x": [("address", "151 avenue du Pont Vieux"), ("address", "137, rue des Tilleuls")],
+    "lives at 119 rue des Glycines Petra prefers to be pinged; 12 rue du Pont Vieux Petra Stone asked": [("address", "119 rue des Glycines"), ("name", "Petra"), ("address", "12 rue du Pont Vieux"), ("name", "Petra Stone")],
     "vive en Calle del Romero, 207 y C/ Tejares 99": [("address", "Calle del Romero, 207"), ("address", "C/ Tejares 99")],
     "Lane 5 of the pipeline; see road map 8, street-level": [],
     "Interview with Petra Stone went well.": [("name", "Petra Stone")],
