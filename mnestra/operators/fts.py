@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,20 +100,72 @@ class Phrase:
         return content if self.column == "content" else tags if self.column == "tags" else content + tags
 
 
+def near_counts(terms: list[str], phrases: list[list[str]], prefixes: list[bool], distance: int) -> list[int]:
+    """How often each phrase stands in a clump of all: at most ``distance`` terms from the end of its first to the start of its last.
+
+    Clumps are met from left to right; each counts the phrases' places in it, a place once.
+    """
+    places = []
+    for words, prefix in zip(phrases, prefixes):
+        fits = lambda at, words=words, prefix=prefix: all(terms[at + k].startswith(w) if prefix and k == len(words) - 1 else terms[at + k] == w for k, w in enumerate(words))
+        places.append([at for at in range(len(terms) - len(words) + 1) if fits(at)])
+    kept: list[set[int]] = [set() for _ in phrases]
+    now = [0] * len(phrases)
+    while all(k < len(p) for k, p in zip(now, places)):
+        at = [p[k] for k, p in zip(now, places)]
+        behind = [i for i, x in enumerate(at) if x + len(phrases[i]) + distance < max(at)]
+        if behind:
+            now[behind[0]] += 1
+            continue
+        for i, x in enumerate(at):
+            kept[i].add(x)
+        now[at.index(min(at))] += 1
+    return [len(x) for x in kept]
+
+
 @dataclass
 class Near:
-    """Phrases each within ``distance`` terms of the next in one column."""
+    """Phrases that only count where they stand near each other, in one column."""
 
     phrases: list[Phrase]
     distance: int = 10
+    column: str | None = None
+
+    def counts(self) -> Column:
+        """An array with each phrase's count."""
+        words, prefixes, distance = [p.words for p in self.phrases], [p.prefix for p in self.phrases], self.distance
+
+        @F.arrow_udf("array<int>")
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in columns:
+                yield pa.array([near_counts(terms or [], words, prefixes, distance) for terms in batch.to_pylist()], pa.list_(pa.int32()))
+
+        content, tags = run(F.col("content_terms")), run(F.col("tag_terms"))
+        return content if self.column == "content" else tags if self.column == "tags" else F.zip_with(content, tags, lambda a, b: a + b)
 
 
 @dataclass
 class Query:
-    """A tree over phrases: ``shape`` holds phrase numbers and ("and"|"or"|"not", left, right)."""
+    """A tree over phrases: ``shape`` holds phrase numbers and ("and"|"or"|"not", left, right).
+
+    ``near`` has the groups by the number of their first phrase.
+    """
 
     shape: object
     phrases: list[Phrase] = field(default_factory=list)
+    near: dict[int, Near] = field(default_factory=dict)
+
+    def standing(self) -> dict[str, Column]:
+        """``any<number>``: at how many places each phrase stands."""
+        return {f"any{i}": p.count() for i, p in enumerate(self.phrases)}
+
+    def counting(self) -> dict[str, Column]:
+        """``tf<number>``: how many of these places count; of a group all phrases count or none."""
+        out = {f"tf{i}": F.col(f"any{i}") for i in range(len(self.phrases))}
+        for first, group in self.near.items():
+            both = group.counts()
+            out |= {f"tf{first + k}": both[k] for k in range(len(group.phrases))}
+        return out
 
 
 _LEX = re.compile(r'\s*(?:(?P<string>"(?:[^"]|"")*")|(?P<sign>[()+*:^,{}-])|(?P<word>[^\s"()+*:^,{}\-!#$%&\'./;<=>?@\[\\\]`|~]+)|(?P<bad>\S))')
@@ -130,6 +184,7 @@ def parse_query(text: str) -> Query:
         lex.append((kind, m[kind]))
     at = 0
     phrases: list[Phrase] = []
+    groups: dict[int, Near] = {}
 
     def peek(*values: str) -> bool:
         return at < len(lex) and lex[at][0] != "string" and lex[at][1] in values
@@ -166,8 +221,29 @@ def parse_query(text: str) -> Query:
         phrases.append(p)
         return len(phrases) - 1
 
+    def near(column: str | None) -> object:
+        """Behind NEAR( : phrases, perhaps a comma and a distance, and the closing sign."""
+        nonlocal at
+        first, shape, distance = len(phrases), None, 10
+        while not peek(")", ","):
+            shape = join("and", shape, phrase(column))
+        if peek(","):
+            at += 1
+            kind, value = take()
+            if not value.isdigit():
+                raise QuerySyntaxError(value)
+            distance = int(value)
+        if take()[1] != ")":
+            raise QuerySyntaxError(")")
+        if len(phrases) - first > 1:
+            groups[first] = Near(phrases[first:], distance, column)
+        return shape
+
     def primary(column: str | None) -> object:
         nonlocal at
+        if lex[at : at + 2] == [("word", "NEAR"), ("sign", "(")]:
+            at += 2
+            return near(column)
         if peek("("):
             at += 1
             inner = either(column)
@@ -183,14 +259,13 @@ def parse_query(text: str) -> Query:
         return phrase(column)
 
     def implicit(column: str | None) -> object:
-        first = at
-        left = primary(column)
-        grouped = lex[first][1] == "(" or lex[at - 1][1] == ")"
+        first, left, grouped = at, None, peek("(")
         while at < len(lex) and not peek(")", "AND", "OR", "NOT"):
-            if grouped or peek("("):  # phrases stand side by side, groups need an operator
+            if left is not None and (grouped or peek("(")):  # phrases stand side by side, groups need an operator
                 raise QuerySyntaxError(lex[at][1])
             left = join("and", left, primary(column))
-            grouped = lex[at - 1][1] == ")"
+        if at == first:
+            raise QuerySyntaxError(lex[at][1] if at < len(lex) else "end")
         return left
 
     def join(kind: str, left: object, right: object) -> object:
@@ -213,7 +288,7 @@ def parse_query(text: str) -> Query:
     shape = either(None)
     if at < len(lex) or not lex:
         raise QuerySyntaxError("unread" if lex else "empty")
-    return Query(shape, phrases)
+    return Query(shape, phrases, groups)
 
 
 def _holds(shape: object) -> Column:
@@ -236,9 +311,10 @@ def search(memories: DataFrame, query: str, limit: int | None = 20, digits: int
         parsed = parse_query(query)
     except QuerySyntaxError:
         return memories.sparkSession.createDataFrame([], "rank int, id string, score double")
-    docs = indexed(memories).withColumns({f"tf{i}": p.count() for i, p in enumerate(parsed.phrases)} | {"length": F.size("content_terms") + F.size("tag_terms")}).drop("content_terms", "tag_terms")
+    length = {"length": F.size("content_terms") + F.size("tag_terms")}
+    docs = indexed(memories).withColumns(parsed.standing() | length).withColumns(parsed.counting()).drop("content_terms", "tag_terms")
     numbers = range(len(parsed.phrases))
-    totals = docs.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in numbers]).alias("t")).scalar()
+    totals = docs.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"any{i}") > 0).alias(f"df{i}") for i in numbers]).alias("t")).scalar()
     rows = docs.where(~F.col("archived") & _holds(parsed.shape)).withColumn("t", totals)
     score = F.lit(0.0)
     for i in numbers:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnestra.operators.skew import HOT_SHARE
 from mnestra.sources.tables import reference_key, table
 
-#: A key with more than one in so many references is hot; there can't be more hot keys than that.
-HOT_SHARE = 1000
 #: Parts into which the references of a hot key are dealt.
 SALTS = 64
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnestra.functions.scalars import all_tags, clamp, parse_memory_type
+from mnestra.operators.skew import join_unique
 from mnestra.schema import DECAY_FLOOR, FORGET_DECAY, SESSION_CAP
 from mnestra.sources.tables import reference_key
 
@@ -86,6 +87,14 @@ def apply_decay(memories: DataFrame, factor: float) -> DataFrame:
     return memories.withColumn("decayed", F.coalesce(due, F.lit(False))).withColumn("decay_score", F.when(due, F.col("decay_score") * (F.lit(factor) + F.col("importance") / 20.0)).otherwise(F.col("decay_score")))
 
 
+def eligible(memories: DataFrame, least_importance: float | None = None, most_decay: float | None = None) -> DataFrame:
+    """Visible rows under an importance and a decay score: what may be archived. Nulls don't count."""
+    rows = visible(memories)
+    if least_importance is not None:
+        rows = rows.where(F.col("importance") < least_importance)
+    return rows if most_decay is None else rows.where(F.col("decay_score") < most_decay)
+
+
 def forget_by_decay(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """All rows; of visible ones named in ``ids`` the decay score times 0.1."""
     named = ids.select(F.col("id").alias("id")).distinct().withColumn("_hit", F.lit(True))
@@ -133,12 +142,12 @@ def fold_oplog(oplog: DataFrame) -> DataFrame:
     hides it and sets updated_at; delete removes it with all before. Operations on an id before its insert or
     after a delete do nothing. Equal rows count once. Null and blank ids are left out.
 
-    Deletes and inserts cut an id's history; what counts begins at its last insert, so one window
-    over each id and one aggregation with partial sums give the state without a loop.
+    Deletes and inserts cut an id's history; what counts begins at its last insert, so two
+    aggregations with partial sums and a join that spares hot ids give the state without a loop.
     """
     log = oplog.select("seq", "ts", reference_key(F.col("id")).alias("id"), F.lower(F.trim("op")).alias("op"), "value").where("id IS NOT NULL").distinct()
     ends = log.groupBy("id").agg(F.max(F.when(F.col("op").isin("insert", "delete"), F.struct("seq", "op"))).alias("cut")).where("cut.op = 'insert'").select("id", F.col("cut.seq").alias("born"))
-    live = log.join(ends, "id").where("seq >= born")
+    live = join_unique(log, ends, "id").where("seq >= born")
     at = F.struct("seq", F.col("value").alias("v"))
     state = live.groupBy("id").agg(
         F.max("born").alias("inserted_seq"),

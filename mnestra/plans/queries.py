@@ -307,9 +307,9 @@ def fts_search_or(spark, d):
     return _searched(fts.search(m(spark, d), "broker OR export"))
 
 
-@query("WITH " + _fts_sql(["broker", "token"], "tf0 > 0 AND NOT tf1 > 0"))
+@query("WITH " + _fts_sql(["snapshot", "weekly"], "tf0 > 0 AND NOT tf1 > 0"))
 def fts_search_not(spark, d):
-    return _searched(fts.search(m(spark, d), "broker NOT token"))
+    return _searched(fts.search(m(spark, d), "snapshot NOT weekly"))
 
 
 # -- hybrid search and recall ---------------------------------------------------------------
@@ -468,6 +468,94 @@ def basic_tokens(spark, d):
     return m(spark, d).select(F.explode(scalars.basic_tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+# -- further rows of the inventory ----------------------------------------------------------
+@query("SELECT count(*) AS n_vectors, count(*) FILTER (deleted) AS n_deleted FROM (SELECT DISTINCT id, embedding, deleted FROM vectors)")
+def vec_index_size(spark, d):
+    rows = table(spark, d, "vectors").dropDuplicates(["id", "embedding", "deleted"])
+    return rows.agg(F.count("*").alias("n_vectors"), F.count_if("deleted").alias("n_deleted"))
+
+
+@query(f"WITH {V_SQL} SELECT id, round(e[1], 6) AS first, len(e) AS dim FROM v WHERE id = (SELECT min(id) FROM v)")
+def vec_get(spark, d):
+    rows = v(spark, d)
+    one = rows.agg(F.min("id").alias("id")).first()["id"] or ""
+    return rows.where(F.col("id") == one).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
+
+
+@query(f"""WITH {V_SQL}, n AS (SELECT id, list_transform(e, lambda x: x + 1) AS e FROM v WHERE id < '4'), u AS (SELECT id, e FROM n UNION ALL SELECT id, e FROM v WHERE id NOT IN (SELECT id FROM n))
+SELECT id, round(list_sum(e), 4) AS total FROM u""")
+def vec_upsert(spark, d):
+    rows = v(spark, d).select("id", "embedding", F.lit(False).alias("deleted"))
+    new = rows.where("id < '4'").withColumn("embedding", F.transform("embedding", lambda x: (x + F.lit(1)).cast("float")))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return vectors.upsert(rows, new).select("id", F.round(total, 4).alias("total"))
+
+
+@query(f"{_near_sql((3,), source="(SELECT * FROM v WHERE id NOT IN (SELECT lower(trim(id)) FROM oplog WHERE op = 'delete' AND trim(id) <> '')) v")} {_OUT_SQL} WHERE rank <= 10")
+def vec_remove_topk(spark, d):
+    gone = table(spark, d, "oplog").where("op = 'delete'").select(reference_key(F.col("id")).alias("id")).where("id IS NOT NULL")
+    rows = vectors.removed(v(spark, d).withColumn("deleted", F.lit(False)), gone)
+    return _out(vectors.nearest(vectors.live(rows), q(spark, d, 3), 10))
+
+
+@query(f"WITH {V_SQL}, x AS (SELECT id, list_transform(e[1:8], lambda x: floor(x * 100 + 0.5)::BIGINT) AS b FROM v), o AS (SELECT b FROM x WHERE id = (SELECT min(id) FROM x)) SELECT x.id, list_sum(list_transform(list_zip(x.b, o.b), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::DOUBLE AS distance FROM x, o")
+def vec_integer_l2(spark, d):
+    rows = v(spark, d).select("id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100 + 0.5)).alias("embedding"))
+    first = rows.orderBy("id").limit(1).collect()
+    return vectors.scored(rows, [("q", list(r["embedding"])) for r in first]).select("id", "distance")
+
+
+@query(f"WITH {M_SQL} SELECT id, len(tags) AS n, tags = from_json(to_json(tags), '[\"VARCHAR\"]') AS same FROM m")
+def tags_json(spark, d):
+    return m(spark, d).select("id", F.size("tags").cast("long").alias("n"), (scalars.tags_from_json(F.to_json("tags")) == F.col("tags")).alias("same"))
+
+
+@query(f"WITH {M_SQL} SELECT id, importance, round(decay_score, 6) AS decay_score FROM m WHERE NOT archived AND importance < 4 AND decay_score < 0.9")
+def mem_eligible(spark, d):
+    return store.eligible(m(spark, d), 4.0, 0.9).select("id", "importance", F.round("decay_score", 6).alias("decay_score"))
+
+
+@query(f"WITH {M_SQL} SELECT memory_type, count(*) AS n FROM m WHERE NOT archived AND id NOT IN (SELECT lower(trim(id)) FROM oplog WHERE op IN ('archive', 'delete') AND trim(id) <> '') GROUP BY memory_type")
+def mem_after_forget(spark, d):
+    gone = table(spark, d, "oplog").where("op IN ('archive', 'delete')").select(reference_key(F.col("id")).alias("id")).where("id IS NOT NULL").distinct()
+    return store.stats_by_type(m(spark, d).join(gone, "id", "left_anti"))
+
+
+@query(f"WITH {T_SQL}, n AS (SELECT DISTINCT object AS name FROM t WHERE object IS NOT NULL) SELECT name, name IN (SELECT subject FROM t WHERE subject IS NOT NULL) AS known FROM n")
+def kg_known_entities(spark, d):
+    rows = t(spark, d)
+    names = rows.select(F.col("object").alias("name")).where("name IS NOT NULL").distinct()
+    known = rows.select(F.col("subject").alias("name")).distinct().withColumn("known", F.lit(True))
+    return names.join(known, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(f"WITH {T_SQL} SELECT name, count(*) AS n FROM (SELECT subject AS name FROM t UNION ALL SELECT object FROM t) WHERE name IS NOT NULL GROUP BY name")
+def kg_entity_mentions(spark, d):
+    rows = t(spark, d)
+    return rows.select(F.col("subject").alias("name")).unionAll(rows.select("object")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + _fts_sql(["snap"], "tf0 > 0").replace("w = 'snap'", "starts_with(w, 'snap')"))
+def fts_search_prefix(spark, d):
+    return _searched(fts.search(m(spark, d), "snap*"))
+
+
+_PHRASE = "len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'token' AND {0}[i + 1] = 'broker'))"
+
+
+@query("WITH " + _fts_sql(["token broker"], "tf0 > 0").replace("len(list_filter(terms, lambda w: w = 'token broker'))", _PHRASE.format("terms")))
+def fts_search_phrase(spark, d):
+    return _searched(fts.search(m(spark, d), '"Token broker"'))
+
+
+@query(f"{_near_sql((1, 2, 5, 8))}, f AS (SELECT query, count(*) FILTER (NOT archived AND 1 / (1 + distance) > 0.3) AS n FROM r LEFT JOIN m ON m.id = r.id WHERE rank <= 3 GROUP BY query) SELECT count(*) FILTER (n = 0) AS new_facts, count(*) FILTER (n > 0) AS updated_facts FROM f")
+def consolidation_counts(spark, d):
+    facts = q(spark, d, 1, 2, 5, 8)
+    merged = consolidate.merge_targets(m(spark, d), v(spark, d), facts, 0.3)
+    named = spark.createDataFrame([(n,) for n, _ in [(str(n), 0) for n, _ in facts]], "fact string").join(merged, "fact", "left")
+    return named.agg(F.count_if(F.col("id").isNull()).alias("new_facts"), F.count_if(F.col("id").isNotNull()).alias("updated_facts"))
+
+
 # -- references -----------------------------------------------------------------------------
 for _name, _query in (("p5_found", references.p5_found), ("p5_counts", references.p5_counts)):
     _QUERIES[_name], _SQL[_name] = _query, references.SQL[_name]

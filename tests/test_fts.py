@@ -19,8 +19,8 @@ DOCS = [
     ("数据库 漢字 cache", "zh", 0),
     *[(f"filler number {i} with words", "f", 0) for i in range(12)],
 ]
-QUERIES = ["database", "cache", "database cache", "database OR cache", "cache NOT database", '"quick brown"', "quick*", "content:fox", "tags:fox", "cafe", "CAFÉ", "(database OR fox) AND cache", "quick AND fox OR redis", "^brown", "brown + quick", '"brown quick" OR tags:db', "words", "missing", "content:(quick fox)"]
-BAD = ["what database are we using?", "a-b", "don't", "", '"open', "AND x", "x AND", "nosuch:term", "(a", "a)", "(a OR b) c", "a (b OR c)"]
+QUERIES = ["database", "cache", "database cache", "database OR cache", "cache NOT database", '"quick brown"', "quick*", "content:fox", "tags:fox", "cafe", "CAFÉ", "(database OR fox) AND cache", "quick AND fox OR redis", "^brown", "brown + quick", '"brown quick" OR tags:db', "words", "missing", "content:(quick fox)", "NEAR(quick fox)", "NEAR(quick fox, 1)", "NEAR(fox quick, 0)", 'NEAR("quick brown" dog, 3) OR redis', "tags: NEAR(db fox, 2)", "NEAR(cache cache, 2)", "NEAR(the the fox, 9) AND dog"]
+BAD = ["what database are we using?", "a-b", "don't", "", '"open', "AND x", "x AND", "nosuch:term", "(a", "a)", "(a OR b) c", "a (b OR c)", "NEAR(a b", "NEAR(a b, x)", "x OR", "()", "a OR AND b"]
 
 
 @pytest.fixture(scope="module")
