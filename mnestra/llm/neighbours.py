@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnestra.operators.skew import join_unique
 from mnestra.sources.tables import reference_key, table
 
 
@@ -244,12 +245,8 @@ def candidates(vectors: DataFrame, index: PermutationIndex, k: int = 5) -> DataF
     return pairs.groupBy("a", "b").agg(F.min("footrule").alias("footrule"))
 
 
-def reranked(pairs: DataFrame, vectors: DataFrame, floor: float, dim: int = 64) -> DataFrame:
-    """``(id_a, id_b, similarity)`` of candidate pairs at or above ``floor``, with id_a < id_b, exactly.
-
-    A ref two ids share stands for both: pairs are joined to all its vectors and judged by them. Of
-    several vectors of an id the most similar counts.
-    """
+def _clean(vectors: DataFrame, dim: int) -> DataFrame:
+    """``(ref, id, v)`` of usable vectors."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +254,16 @@ def reranked(pairs: DataFrame, vectors: DataFrame, floor: float, dim: int = 64)
             offsets = pa.array(np.arange(0, len(x) * dim + 1, dim, dtype="i4"))
             yield pa.RecordBatch.from_arrays([batch.column("ref").take(pa.array(rows)), batch.column("id").take(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["ref", "id", "v"])
 
+    return _keyed(vectors).mapInArrow(clean, "ref long, id string, v array<float>")
+
+
+def reranked(pairs: DataFrame, vectors: DataFrame, floor: float, dim: int = 64) -> DataFrame:
+    """``(id_a, id_b, similarity)`` of candidate pairs at or above ``floor``, with id_a < id_b, exactly.
+
+    A ref two ids share stands for both: pairs are joined to all its vectors and judged by them. Of
+    several vectors of an id the most similar counts.
+    """
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (unit(batch.column(c).flatten().to_numpy().reshape(-1, dim)) for c in ("va", "vb"))
@@ -264,7 +271,7 @@ def reranked(pairs: DataFrame, vectors: DataFrame, floor: float, dim: int = 64)
             good = pa.array(s >= floor)
             yield pa.RecordBatch.from_arrays([batch.column("id_a").filter(good), batch.column("id_b").filter(good), pa.array(s).filter(good)], names=["id_a", "id_b", "similarity"])
 
-    side = _keyed(vectors).mapInArrow(clean, "ref long, id string, v array<float>")
+    side = _clean(vectors, dim)
     both = pairs.select("a", "b").join(side.select(F.col("ref").alias("a"), F.col("id").alias("id_a"), F.col("v").alias("va")), "a").join(side.select(F.col("ref").alias("b"), F.col("id").alias("id_b"), F.col("v").alias("vb")), "b")
     judged = both.where("id_a <> id_b").select("id_a", "id_b", "va", "vb").mapInArrow(judge, "id_a string, id_b string, similarity double")
     return judged.groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(F.max("similarity").alias("similarity"))
@@ -276,7 +283,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.8, config: IndexCon
     Ids are compared without outer blanks and regard to case; null and blank ids, deleted, null,
     short, long, all-zero and non-finite vectors are left out; ties go to the smaller id; equal rows
     count once. The index is approximate: recall against brute force is measured in the tests. An
-    id with more than ``k`` exact copies of smaller id has no row: its neighbours are those copies.
+    id with more than ``k`` exact copies of smaller id may have no row; ``copies`` has it.
     """
     index = fit(vectors, floor=floor, config=config, dim=dim)
     if index is None:
@@ -287,6 +294,19 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.8, config: IndexCon
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbour", "similarity")
 
 
+def copies(vectors: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
+    """``(id, rank, neighbour, similarity)`` of ids with more than ``k`` exact copies of smaller id: the ``k`` smallest of these.
+
+    Of a vector's ids only the k + 1 smallest of each task are shuffled; the rows of a vector that
+    many ids share are joined to them in place.
+    """
+    rows = _clean(vectors, dim).select("id", F.struct(F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2")).alias("copy"))
+    place = F.dense_rank().over(W.partitionBy("copy").orderBy("id"))
+    first = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("copy").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > k)
+    late = join_unique(rows, first, "copy").where(F.col("id") > F.element_at("ids", k + 1)).select("id", F.posexplode(F.slice("ids", 1, k)).alias("pos", "neighbour"))
+    return late.select("id", (F.col("pos") + 1).alias("rank"), "neighbour", F.lit(1.0).alias("similarity")).distinct()
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b, of ids that are each among the other's neighbours."""
     pair = neighbours.groupBy(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).agg(F.count("*").alias("n"))
@@ -294,7 +314,10 @@ def mutual(neighbours: DataFrame) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "vectors")).withColumn("similarity", F.round("similarity", 6))
+    """Each usable id's neighbours, those of ids with many copies too."""
+    vectors = table(spark, sf_dir, "vectors")
+    found = nearest(vectors)
+    return found.unionByName(copies(vectors).join(found.select("id").distinct(), "id", "left_anti")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,8 @@ def test_copies_ties_and_dirt(spark):
     assert got["n1"] == [f"c{i:02}" for i in range(5)]
     assert got["c00"] == ["c01", "c02", "c03", "c04", "c05"] and got["c05"] == [f"c{i:02}" for i in range(5)]
     assert not {"far", "gone", "null", "short", "zero", "nan", "hole"} & (set(got) | {x for y in got.values() for x in y})
+    late = lists(nb.copies(table(spark, rows).repartition(3), 5))
+    assert late == {f"c{i:02}": [f"c{j:02}" for j in range(5)] for i in range(6, 9)}
     found = {tuple(r) for r in nb.mutual(nb.nearest(table(spark, rows), 5, 0.8)).collect()}
     want = {(f"c{i:02}", f"c{j:02}") for i in range(6) for j in range(i + 1, 6)}
     assert found == want
@@ -89,6 +91,7 @@ def test_copies_ties_and_dirt(spark):
 def test_empty_and_tiny(spark):
     assert nb.nearest(table(spark, [])).count() == 0
     assert nb.nearest(table(spark, [("a", None, False)])).count() == 0
+    assert nb.copies(table(spark, [])).count() == 0
     v = np.ones(DIM)
     assert nb.nearest(table(spark, [("a", v, False)])).count() == 0
     assert lists(nb.nearest(table(spark, [("a", v, False), ("b", 2 * v, False)]))) == {"a": ["b"], "b": ["a"]}
