@@ -49,16 +49,17 @@ def indexed(memories: DataFrame) -> DataFrame:
 
 
 def postings(memories: DataFrame) -> DataFrame:
-    """``(term, id, tf, length)`` over content and tags; a term's postings can be bucketed by term when written."""
+    """``(term, id, tf, length)`` over content and tags; a term's postings can be bucketed by term when written.
+
+    Rows that are partitioned by id already, as current ones are, aren't shuffled again.
+    """
     docs = indexed(memories).select("id", F.concat("content_terms", "tag_terms").alias("all"))
     return docs.select("id", F.size("all").alias("length"), F.explode("all").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def term_statistics(memories: DataFrame) -> DataFrame:
-    """``(term, n_docs, n_occurrences)``: counts are combined before the shuffle on the term."""
-    docs = indexed(memories).select(F.concat("content_terms", "tag_terms").alias("all"))
-    once = docs.select(F.explode("all").alias("term"), F.lit(0).alias("d")).unionByName(docs.select(F.explode(F.array_distinct("all")).alias("term"), F.lit(1).alias("d")))
-    return once.groupBy("term").agg(F.sum("d").cast("long").alias("n_docs"), F.sum(1 - F.col("d")).cast("long").alias("n_occurrences"))
+    """``(term, n_docs, n_occurrences)``: counts of a document, then of all, combined before the shuffle on the term."""
+    return postings(memories).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_occurrences"))
 
 
 # -- query language -------------------------------------------------------------------------

@@ -20,10 +20,10 @@ _CELLS = 2_000_000
 
 
 def live(vectors: DataFrame, dim: int = 64) -> DataFrame:
-    """``(id, embedding)`` that aren't deleted and have ``dim`` finite components; equal rows once."""
+    """``(id, embedding)`` that aren't deleted and have ``dim`` finite components. Rows delivered again stay: searches count an id once."""
     rows = vectors.where((~F.coalesce("deleted", F.lit(False))) & (F.size("embedding") == dim)).select(reference_key(F.col("id")).alias("id"), "embedding").where("id IS NOT NULL")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(finite).dropDuplicates(["id", "embedding"])
+    return rows.where(finite)
 
 
 def query_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", most: int = MOST_QUERIES) -> list[tuple]:
@@ -52,10 +52,11 @@ def normalised(v: Column) -> Column:
 
 
 def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k: int | None = None, radius: float | None = None) -> DataFrame:
-    """``(query, id, distance)``; with ``k`` at least each query's k nearest, with ``radius`` those within it.
+    """``(query, id, distance)``; with ``k`` at least each query's k nearest ids, with ``radius`` those within it.
 
-    Queries travel with the task, so nothing is joined. In a batch only what can be among the k
-    nearest goes on: rows out are at most k for each query and batch, with ties at the edge.
+    Queries travel with the task, so nothing is joined, and no vector is shuffled. In a batch only
+    what can be among the k nearest goes on: at most k ids for each query and batch, with ties at
+    the edge. Of several vectors of an id the nearest counts.
     """
     if not queries:
         return vectors.sparkSession.createDataFrame([], "query string, id string, distance double")
@@ -73,20 +74,28 @@ def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k:
                 raise ValueError(f"a vector has not {dim} components as the queries have")
             for s in range(0, whole.num_rows, step):
                 batch = whole.slice(s, step)
+                ids = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                repeated = len(ids) and len(np.unique(ids)) < len(ids)
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
                 at, which, d = [], [], []
                 for i, v in enumerate(q):
                     own = 1.0 - x @ v if metric == "ip" else ((x - v) ** 2).sum(1)
                     keep = np.ones(len(own), bool) if radius is None else own <= radius
                     if k is not None and k < len(own):
-                        keep &= own <= np.partition(own, k - 1)[k - 1] + 1e-12
+                        best = own
+                        if repeated:
+                            best = np.full(ids.max() + 1, np.inf)
+                            np.minimum.at(best, ids, own)
+                        if k < len(best):
+                            keep &= own <= np.partition(best, k - 1)[k - 1] + 1e-12
                     rows = np.flatnonzero(keep)
                     at.append(rows)
                     which += [names[i]] * len(rows)
                     d.append(own[rows])
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(d))], names=["query", "id", "distance"])
 
-    return vectors.select("id", "embedding").mapInArrow(run, f"query string, id {kind}, distance double")
+    found = vectors.select("id", "embedding").mapInArrow(run, f"query string, id {kind}, distance double")
+    return found.groupBy("query", "id").agg(F.min("distance").alias("distance"))
 
 
 def nearest(vectors: DataFrame, queries: Sequence[tuple], k: int, metric: str = "l2", digits: int = 9) -> DataFrame:

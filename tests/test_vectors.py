@@ -25,6 +25,12 @@ def test_ties_deleted_broken_and_repeated(spark):
     assert [(r["rank"], r["id"], r["distance"]) for r in got.orderBy("rank").collect()] == [(1, "a", 0.0), (2, "b", 0.0), (3, "c", 0.0)]
 
 
+def test_repeats_take_no_place(spark):
+    rows = [(f"r{i % 3}", [1.0 + i % 3, 0.0], False) for i in range(60)] + [("far", [9.0, 0.0], False), ("two", [5.0, 0.0], False), ("two", [1.5, 0.0], False)]
+    got = vectors.nearest(vectors.live(table(spark, rows).coalesce(1), 2), [("q", [1.0, 0.0])], 5).orderBy("rank").collect()
+    assert [r["id"] for r in got] == ["r0", "two", "r1", "r2", "far"]
+
+
 def test_wrong_length_query_is_refused(spark):
     live = vectors.live(table(spark, [("x", [1.0, 0], False)]), 2)
     with pytest.raises(Exception, match="components"):
