@@ -96,15 +96,15 @@ class PermutationIndex:
     def __init__(self, sample: np.ndarray, n_rows: int, config: IndexConfig):
         self.config, self.dim = config, sample.shape[1]
         wanted = config.pivots or 1 << max(6, min(14, round(np.log2(2.4 * max(n_rows, 1) ** 0.5))))
-        sample = unit(sample)
-        self.pivots = np.unique(sample.round(6), axis=0, return_index=True)[1]
-        self.pivots = sample[np.sort(self.pivots)[:wanted]].astype("f4")
+        n_sample, sample = len(sample), unit(sample)
+        sample = sample[np.sort(np.unique(sample.round(6), axis=0, return_index=True)[1])]  # copies crowd no inverted file
+        self.pivots = sample[:wanted].astype("f4")
         self.directions = np.random.default_rng(config.seed).standard_normal((self.dim, 128)).astype("f4")
         self.posted = [(i, j) for i, j in combinations(range(min(config.order, len(self.pivots))), 2) if i + j <= config.reach]
         self.blocks: dict[int, int] = {}
         keys, counts = np.unique(self.keys(self.permute(sample.astype("f4"))), return_counts=True)
         for key, n in zip(keys, counts):
-            size = n * n_rows / max(len(sample), 1)
+            size = n * n_rows / max(n_sample, 1)
             if n > 8 and size > config.list_size:
                 self.blocks[int(key)] = int(-(-size // config.list_size))
 

@@ -64,6 +64,11 @@ def test_split_files_give_the_pairs_of_whole_ones():
     assert not none and some and whole == split
 
 
+def test_copies_crowd_no_file():
+    x = np.concatenate([np.repeat(clustered(1), 500, 0), clustered(500, 2)])
+    assert not nb.PermutationIndex(x, 10**9, nb.IndexConfig(list_size=10**8)).blocks
+
+
 def test_footrule():
     a, b = np.array([[1, 2, 3, 4]], "i2"), np.array([[2, 1, 9, 3]], "i2")
     place = lambda p, x: list(p).index(x) if x in p else len(p)
