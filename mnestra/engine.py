@@ -89,8 +89,7 @@ class MemoryEngine:
             F.monotonically_increasing_id().alias("insert_seq"),
         )
         if auto_score:
-            rate = F.udf(lambda text: provider.complete("score", providers.score_prompt(text)), "string")
-            shaped = shaped.withColumn("importance", F.when(F.col("importance").isNull(), scalars.parse_score(rate("content"))).otherwise(F.col("importance")))
+            shaped = shaped.withColumn("importance", F.coalesce("importance", scalars.parse_score(providers.answers(provider, "score", providers.score_prompt, F.when(F.col("importance").isNull(), F.col("content"))))))
         shaped = shaped.withColumn("importance", F.coalesce("importance", F.lit(schema.DEFAULT_IMPORTANCE)))
         # ids are random: the batch is written before it is judged, so that all later reads agree
         staged = VersionedTable(self.spark, f"{self.config.project_dir}/staging/{self.new_id()}", schema.MEMORIES, ["insert_seq"])
@@ -99,10 +98,11 @@ class MemoryEngine:
         old = self.memories()
         stored, rejected = store.insert_records(old, batch)
         if clash := rejected.first():
+            staged.drop()
             raise ValueError(f"id {clash['id']} is taken")
         base = (old.agg(F.max("insert_seq").alias("n")).first()["n"] or 0) + 1
-        stored = stored.withColumn("insert_seq", F.col("insert_seq") + base)
-        self._memories.upsert(stored)
+        stored = self._memories.written(self._memories.upsert(stored.withColumn("insert_seq", F.col("insert_seq") + base)))
+        staged.drop()
         self._vectors.upsert(embed(stored.select("id", "content"), self.embedder).select("id", "embedding", F.lit(False).alias("deleted")))
         return stored
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from mnestra.functions.embed import Embedder, HashEmbedder, MockEmbedder
 
 TASKS = ("extract", "contradict", "resolve", "rerank", "score")
@@ -62,6 +66,17 @@ def embedder(name: str = "mock", dim: int = 768) -> Embedder:
     return EMBEDDERS.get(name.lower(), MockEmbedder)(dim)
 
 
+def answers(provider: Provider, task: str, prompt: Callable[[str], str], text: Column) -> Column:
+    """A provider's answer to the prompt of each text, asked from the executors batch by batch; null texts aren't asked."""
+
+    @F.arrow_udf("string")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([None if t is None else provider.complete(task, prompt(t)) for t in batch.to_pylist()], pa.string())
+
+    return run(text)
+
+
 # -- prompts --------------------------------------------------------------------------------
 def extract_prompt(session_text: str) -> str:
     return (

@@ -46,6 +46,11 @@ class VersionedTable:
         newest = rows.withColumn("_k", F.row_number().over(W.partitionBy(*self.key).orderBy(F.desc("v")))).where("_k = 1 AND NOT _gone")
         return newest.select(*self.schema.names)
 
+    def written(self, version: int) -> DataFrame:
+        """The rows of one write, tombstones left out."""
+        stored = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType())])
+        return self.spark.read.schema(stored).parquet(f"{self.path}/v={version}").where("NOT _gone").select(*self.schema.names)
+
     def _write(self, rows: DataFrame, gone: bool) -> int:
         version = max([time.time_ns(), *(n + 1 for n in self.versions()[-1:])])
         have = set(rows.columns)
@@ -67,3 +72,7 @@ class VersionedTable:
         for n in old:
             fs.delete(make(f"{self.path}/v={n}"), True)
         return version
+
+    def drop(self) -> None:
+        fs, path, _ = self._fs()
+        fs.delete(path, True)

@@ -45,6 +45,17 @@ def test_life_of_a_record(engine):
     assert e.triples().count() == 1 and e.memories().count() == 1
 
 
+def test_batches_are_scored_and_stored_whole(engine, spark, tmp_path):
+    e = engine(provider=providers.CannedProvider(lambda task, prompt: "8" if "crucial" in prompt.splitlines()[-1] else "none"))
+    rows = spark.createDataFrame([(None, "crucial fact", None, 7), ("x", "odd", None, 7), ("y", "set", 2.0, 7), ("z", None, None, 7)], "id string, content string, importance double, rank int")
+    stored = e.store_batch(rows, auto_score=True)
+    assert {r["content"]: r["importance"] for r in stored.collect()} == {"crucial fact": 8.0, "odd": 5.0, "set": 2.0, "": 5.0}
+    assert {r["id"] for r in stored.collect()} == {r["id"] for r in e.memories().collect()} == {r["id"] for r in e.vectors().collect()}
+    with pytest.raises(ValueError):
+        e.store_batch(rows)
+    assert e.memories().count() == 4 and not list((tmp_path / "projects" / "default" / "staging").iterdir())
+
+
 def test_recall_follows_the_provider_or_falls_back(engine):
     known = {"q": [1, 0, 0, 0], "near": [1, 0.1, 0, 0], "far": [0, 1, 0, 0]}
     provider = providers.CannedProvider({"rerank": "SELECTED [2] | because\nSELECTED [9] | beyond"})

@@ -20,3 +20,9 @@ def test_registry_without_training_subpackage(spark):
 
     assert set(core.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark, duck):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
