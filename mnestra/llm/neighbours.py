@@ -188,7 +188,9 @@ def fit(vectors: DataFrame, n_rows: int | None = None, floor: float = 0.8, confi
     n_rows = vectors.count() if n_rows is None else n_rows
     config = config if config.bits is not None else replace(config, bits=sign_bits(floor))
     size = max(config.sample, config.pivots or 0)
-    rows = _keyed(vectors).where(F.size("embedding") == dim).orderBy("ref").select("embedding", "deleted").limit(size).toArrow().to_batches()
+    # about twice the sample by its hashes first, so that no task sends its own top of that size
+    below = F.lit(int(min(2**63 - 1, -(2**63) + 2**64 * 2 * size / max(n_rows, 1))))
+    rows = _keyed(vectors).where((F.size("embedding") == dim) & (F.col("ref") <= below)).orderBy("ref").select("embedding", "deleted").limit(size).toArrow().to_batches()
     parts = [usable(b, dim)[1] for b in rows if b.num_rows]
     sample = np.concatenate(parts) if parts else np.zeros((0, dim), "f4")
     return PermutationIndex(sample, n_rows, config) if len(sample) else None
