@@ -40,7 +40,7 @@ def get(memories: DataFrame, id: str) -> DataFrame:
     return visible(memories).where(F.col("id") == id.strip(" ").lower())
 
 
-def list_memories(memories: DataFrame, tags: Sequence[str] = (), memory_type: str | None = None, since: str | None = None, limit: int | None = 100, compat_like: bool = False) -> DataFrame:
+def list_memories(memories: DataFrame, tags: Sequence[str] = (), memory_type: str | None = None, since: str | None = None, limit: int = 100, compat_like: bool = False) -> DataFrame:
     """Visible rows that have all tags, the type, and aren't older than ``since``, with their ``rank``.
 
     By falling importance, then creation time; ties by insert_seq. Nulls go last. A top-k per task,
@@ -52,8 +52,7 @@ def list_memories(memories: DataFrame, tags: Sequence[str] = (), memory_type: st
     if since is not None:
         rows = rows.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
     order = [F.desc_nulls_last("importance"), F.desc_nulls_last("created_at"), F.asc("insert_seq")]
-    top = rows.orderBy(*order)
-    return ranked(top.limit(limit) if limit is not None else top, *order)
+    return ranked(rows.orderBy(*order).limit(limit), *order)
 
 
 def ranked(rows: DataFrame, *order: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -20,10 +20,17 @@ _CELLS = 2_000_000
 
 
 def live(vectors: DataFrame, dim: int = 64) -> DataFrame:
-    """``(id, embedding)`` that aren't deleted and have ``dim`` finite components. Rows delivered again stay: searches count an id once."""
-    rows = vectors.where((~F.coalesce("deleted", F.lit(False))) & (F.size("embedding") == dim)).select(reference_key(F.col("id")).alias("id"), "embedding").where("id IS NOT NULL")
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(finite)
+    """``(id, embedding)`` that aren't deleted and have ``dim`` components.
+
+    Searches leave out vectors with a null or non-finite component and count an id once; where that matters elsewhere, see ``finite``.
+    """
+    rows = vectors.where((~F.coalesce("deleted", F.lit(False))) & (F.size("embedding") == dim)).select(reference_key(F.col("id")).alias("id"), "embedding")
+    return rows.where("id IS NOT NULL")
+
+
+def finite(v: Column) -> Column:
+    """Whether no component is null, NaN or infinite; searches see to it in their batches."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def query_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", most: int = MOST_QUERIES) -> list[tuple]:
@@ -51,12 +58,12 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k: int | None = None, radius: float | None = None) -> DataFrame:
+def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k: int | None = None, radius: float | None = None, once: bool = True) -> DataFrame:
     """``(query, id, distance)``; with ``k`` at least each query's k nearest ids, with ``radius`` those within it.
 
     Queries travel with the task, so nothing is joined, and no vector is shuffled. In a batch only
     what can be among the k nearest goes on: at most k ids for each query and batch, with ties at
-    the edge. Of several vectors of an id the nearest counts.
+    the edge. Of several vectors of an id the nearest counts; without ``once`` they all come.
     """
     if not queries:
         return vectors.sparkSession.createDataFrame([], "query string, id string, distance double")
@@ -74,9 +81,14 @@ def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k:
                 raise ValueError(f"a vector has not {dim} components as the queries have")
             for s in range(0, whole.num_rows, step):
                 batch = whole.slice(s, step)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+                good = np.isfinite(x).all(1)
+                if not good.all():
+                    x, batch = x[good], batch.filter(pa.array(good))
+                if not batch.num_rows:
+                    continue
                 ids = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 repeated = len(ids) and len(np.unique(ids)) < len(ids)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
                 at, which, d = [], [], []
                 for i, v in enumerate(q):
                     own = 1.0 - x @ v if metric == "ip" else ((x - v) ** 2).sum(1)
@@ -95,7 +107,7 @@ def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k:
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(d))], names=["query", "id", "distance"])
 
     found = vectors.select("id", "embedding").mapInArrow(run, f"query string, id {kind}, distance double")
-    return found.groupBy("query", "id").agg(F.min("distance").alias("distance"))
+    return found.groupBy("query", "id").agg(F.min("distance").alias("distance")) if once else found
 
 
 def nearest(vectors: DataFrame, queries: Sequence[tuple], k: int, metric: str = "l2", digits: int = 9) -> DataFrame:
@@ -120,7 +132,7 @@ def nearest_documents(vectors: DataFrame, documents: DataFrame, queries: Sequenc
 
     ``documents`` has ``(id, document)``; vectors of no document are left out.
     """
-    best = scored(vectors, queries).join(documents.where("document IS NOT NULL").select("id", "document"), "id").groupBy("query", "document").agg(F.round(F.min("distance"), digits).alias("distance"))
+    best = scored(vectors, queries, once=False).join(documents.where("document IS NOT NULL").select("id", "document"), "id").groupBy("query", "document").agg(F.round(F.min("distance"), digits).alias("distance"))
     rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "document"))
     return best.withColumn("rank", rank).where(F.col("rank") <= n).select("query", "rank", "document", "distance")
 

@@ -41,6 +41,11 @@ def v(spark: SparkSession, d: str) -> DataFrame:
     return vectors.live(table(spark, d, "vectors"))
 
 
+def whole_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Live vectors with finite components, equal rows once."""
+    return v(spark, d).where(vectors.finite(F.col("embedding"))).distinct()
+
+
 def t(spark: SparkSession, d: str) -> DataFrame:
     return graph.triples(table(spark, d, "knowledge_graph"))
 
@@ -248,7 +253,7 @@ def vec_multidoc(spark, d):
 
 @query(f"WITH {V_SQL}, x AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS n FROM v) SELECT id, round(n, 6) AS length, round(CASE WHEN n > 0 THEN e[1] / n ELSE e[1] END, 6) AS first, round(CASE WHEN n > 0 THEN e[64] / n ELSE e[64] END, 6) AS last FROM x")
 def vec_normalize(spark, d):
-    rows = v(spark, d).distinct().select("id", vectors.normalised(F.col("embedding")).alias("u"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("n"))
+    rows = whole_vectors(spark, d).select("id", vectors.normalised(F.col("embedding")).alias("u"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("n"))
     return rows.select("id", F.round("n", 6).alias("length"), F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
 
 
@@ -477,7 +482,7 @@ def vec_index_size(spark, d):
 
 @query(f"WITH {V_SQL} SELECT id, round(e[1], 6) AS first, len(e) AS dim FROM v WHERE id = (SELECT min(id) FROM v)")
 def vec_get(spark, d):
-    rows = v(spark, d).distinct()
+    rows = whole_vectors(spark, d)
     one = rows.agg(F.min("id").alias("id")).first()["id"] or ""
     return rows.where(F.col("id") == one).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
 
@@ -485,7 +490,7 @@ def vec_get(spark, d):
 @query(f"""WITH {V_SQL}, n AS (SELECT id, list_transform(e, lambda x: x * 2) AS e FROM v WHERE id < '4'), u AS (SELECT id, e FROM n UNION ALL SELECT id, e FROM v WHERE id NOT IN (SELECT id FROM n))
 SELECT id, round(list_sum(e), 6) AS total FROM u""")
 def vec_upsert(spark, d):
-    rows = v(spark, d).select("id", "embedding", F.lit(False).alias("deleted"))
+    rows = whole_vectors(spark, d).select("id", "embedding", F.lit(False).alias("deleted"))
     new = rows.where("id < '4'").withColumn("embedding", F.transform("embedding", lambda x: (x * F.lit(2)).cast("float")))
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return vectors.upsert(rows, new).select("id", F.round(total, 6).alias("total"))
@@ -500,7 +505,7 @@ def vec_remove_topk(spark, d):
 
 @query(f"WITH {V_SQL}, x AS (SELECT id, list_transform(e[1:8], lambda x: floor(x * 100 + 0.5)::BIGINT) AS b FROM v), o AS (SELECT b FROM x WHERE id = (SELECT min(id) FROM x)) SELECT x.id, list_sum(list_transform(list_zip(x.b, o.b), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::DOUBLE AS distance FROM x, o")
 def vec_integer_l2(spark, d):
-    rows = v(spark, d).select("id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100 + 0.5)).alias("embedding"))
+    rows = whole_vectors(spark, d).select("id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100 + 0.5)).alias("embedding"))
     first = rows.orderBy("id").limit(1).collect()
     return vectors.scored(rows, [("q", list(r["embedding"])) for r in first]).select("id", "distance")
 
