@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnestra.llm.records import RECORDS_SQL, memory_records
+from mnestra.llm.records import RECORDS_SQL, records
+from mnestra.operators.skew import join_unique
+from mnestra.sources.tables import reference_key, table
 
 #: Items of a basket from which it is cut into chunks of as many.
 CHUNK = 128
 
+#: Frequent items up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ITEMS = 500_000
 
-def frequent_items(baskets: DataFrame, total: Column, least: int, share: int) -> DataFrame:
+
+def frequent_bound(total: int, mentions: int, least: int, share: int) -> int:
+    """At most how many items can be frequent, if ``total`` baskets have ``mentions`` items in all."""
+    return int(mentions // max(least, total / share, 1))
+
+
+def frequent_items(baskets: DataFrame, total: int, least: int, share: int) -> DataFrame:
     """``(item, n, no)`` of items in at least ``least`` and at least 1 in ``share`` of all baskets, numbered by name.
 
-    No pair is more frequent than its rarer item, so pairs of others can't reach these bounds. There
-    are at most ``share`` times the mean basket size of them, however many baskets there are.
+    No pair is more frequent than its rarer item, so pairs of others can't reach these bounds.
     """
     n = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     return n.where((F.col("n") >= least) & (F.col("n") * share >= total)).withColumn("no", F.row_number().over(W.orderBy("item")))
 
 
-def together(baskets: DataFrame, total: Column, least: int = 5, share: int = 2000, chunk: int = CHUNK) -> DataFrame:
+def together(baskets: DataFrame, total: int, mentions: int, least: int = 5, share: int = 2000, chunk: int = CHUNK, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
     """``(tag_a, tag_b, n_ab, n_a, n_b, lift, pmi)`` of pairs of items in at least ``least`` and 1 in ``share`` baskets.
 
-    ``baskets`` has ``(record, items)``; null items are none, repeats count once, baskets under two
+    ``baskets`` has ``(record, items)``, ``total`` baskets with at most ``mentions`` items in all; null items are none, repeats count once, baskets under two
     items give no pair, ``tag_a < tag_b``. Lift is how many times more often than chance, pmi its
     binary logarithm. An empty table gives none.
 
-    Items below the bounds are left out first, by a broadcast of those that reach them (bounded, see
-    ``frequent_items``); the baskets stay where the record's shuffle put them. A basket of at most
-    ``chunk`` items gives its pairs in place. A larger one is cut into chunks, and each pair of
+    Items below the bounds are left out first. If by ``frequent_bound`` at most ``broadcast_items``
+    can be left, these are broadcast and the baskets stay where the record's shuffle put them; else
+    they are joined by a shuffle that spares hot items. A basket of at most ``chunk`` items gives its pairs in place. A larger one is cut into chunks, and each pair of
     chunks goes to a task of its own choice. Counts are combined before their shuffle.
     """
     spark = baskets.sparkSession
     baskets = baskets.select("record", F.array_distinct(F.filter("items", lambda i: i.isNotNull())).alias("items"))
     items = frequent_items(baskets, total, least, share)
-    kept = baskets.select("record", F.explode("items").alias("item")).join(F.broadcast(items.select("item", "no")), "item")
+    few = frequent_bound(total, mentions, least, share) <= broadcast_items
+    exploded, numbered = baskets.select("record", F.explode("items").alias("item")), items.select("item", "no")
+    kept = exploded.join(F.broadcast(numbered), "item") if few else join_unique(exploded, numbered, "item")
     kept = kept.groupBy("record").agg(F.sort_array(F.collect_list("no")).alias("items")).withColumn("size", F.size("items")).where("size > 1")
 
     small = kept.where(F.col("size") <= chunk).select("items", F.posexplode("items").alias("at", "a")).select("a", F.explode(F.slice("items", F.col("at") + 2, F.greatest(F.size("items") - F.col("at") - 1, F.lit(0)))).alias("b"))
@@ -49,21 +60,27 @@ def together(baskets: DataFrame, total: Column, least: int = 5, share: int = 200
 
     n_ab = small.unionByName(large).groupBy("a", "b").agg(F.count("*").alias("n_ab")).where((F.col("n_ab") >= least) & (F.col("n_ab") * share >= total))
     named = lambda s: items.select(F.col("no").alias(s), F.col("item").alias(f"tag_{s}"), F.col("n").alias(f"n_{s}"))
-    found = n_ab.join(F.broadcast(named("a")), "a").join(F.broadcast(named("b")), "b")
+    side = (lambda s: F.broadcast(named(s))) if few else named
+    found = n_ab.join(side("a"), "a").join(side("b"), "b")
     lift = F.col("n_ab").cast("double") * total / (F.col("n_a").cast("double") * F.col("n_b"))
-    return found.select("tag_a", "tag_b", "n_ab", "n_a", "n_b", F.round(lift, 6).alias("lift"), F.round(F.log2(lift), 6).alias("pmi"), total.alias("n_total"))
+    return found.select("tag_a", "tag_b", "n_ab", "n_a", "n_b", F.round(lift, 6).alias("lift"), F.round(F.log2(lift), 6).alias("pmi"), F.lit(total).cast("long").alias("n_total"))
+
+
+def memory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tags; the numbers of records and of tags of all rows come from one pass over two columns."""
+    memories = table(spark, sf_dir, "memories")
+    known = memories.agg(F.countDistinct(reference_key(F.col("id"))).alias("n"), F.sum(F.greatest(F.size("tags"), F.lit(0))).alias("mentions")).first()
+    return together(records(memories).withColumnRenamed("terms", "items"), known["n"], known["mentions"] or 0)
 
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, total = memory_records(spark, sf_dir)
-    return together(records.withColumnRenamed("terms", "items"), total).drop("n_total")
+    return memory_pairs(spark, sf_dir).drop("n_total")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs at least four times more frequent than chance; products are exact decimals."""
-    records, total = memory_records(spark, sf_dir)
     exact = lambda c: F.col(c).cast("decimal(18,0)")
-    return together(records.withColumnRenamed("terms", "items"), total).where(exact("n_ab") * exact("n_total") >= F.lit(4).cast("decimal(1,0)") * exact("n_a") * exact("n_b")).select("tag_a", "tag_b")
+    return memory_pairs(spark, sf_dir).where(exact("n_ab") * exact("n_total") >= F.lit(4).cast("decimal(1,0)") * exact("n_a") * exact("n_b")).select("tag_a", "tag_b")
 
 
 _PAIRS_SQL = f"""WITH {RECORDS_SQL},

@@ -74,12 +74,14 @@ def test_pairs_like_brute_force_with_large_baskets(spark):
     rng = np.random.default_rng(3)
     rows = [[f"i{x:02}" for x in rng.choice(40, rng.integers(0, 6))] for _ in range(300)] + [[f"i{x:02}" for x in rng.permutation(40)] for _ in range(8)] + [None, [], [None], ["i01"], ["i01", "i01", None]]
     df = baskets(spark, rows)
-    for chunk in (128, 7, 1):
-        got = {tuple(r)[:5] for r in pairs.together(df, F.lit(len(rows)), 5, 40, chunk).collect()}
+    mentions = sum(len(b or []) for b in rows)
+    for chunk, few in ((128, 500_000), (7, 500_000), (1, 0), (128, 0)):
+        got = {tuple(r)[:5] for r in pairs.together(df, len(rows), mentions, 5, 40, chunk, few).collect()}
         assert got == brute(rows, 5, 40)
-    row = pairs.together(df, F.lit(len(rows)), 5, 40).first()
+    assert len({i for b in brute(rows, 5, 40) for i in b[:2]}) <= pairs.frequent_bound(len(rows), mentions, 5, 40)
+    row = pairs.together(df, len(rows), mentions, 5, 40).first()
     assert row["lift"] == round(row["n_ab"] * len(rows) / (row["n_a"] * row["n_b"]), 6)
-    assert pairs.together(baskets(spark, []), F.lit(0)).count() == 0
+    assert pairs.together(baskets(spark, []), 0, 0).count() == 0
 
 
 def test_queries_agree_with_sql(spark, duck):
