@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": terms.p1_found,
         "p1_terms": terms.p1_terms,
+        "p1_bitmaps": terms.p1_bitmaps,
         "p2_found": pairs.p2_found,
         "p2_pairs": pairs.p2_pairs,
         "p3_found": neighbours.p3_found,

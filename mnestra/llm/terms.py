@@ -150,6 +150,9 @@ def _held(rows: list[tuple]) -> pa.RecordBatch:
 def term_frequencies(records: DataFrame, total: Column, rare_below: int = 3, common_share: float = 0.1) -> DataFrame:
     """``(tag, n_occurrences, n_records, verdict)`` of every term.
 
+    A task's chunks are its own, so bitmaps of different tasks are disjoint: the cardinality of their
+    union is the sum of the containers', which is combined before the shuffle on the term.
+
     ``verdict``: `rare` in fewer than ``rare_below`` records, `common` in more than ``common_share``
     of ``total``, else null; rare goes first. An empty table gives none.
     """
@@ -158,6 +161,12 @@ def term_frequencies(records: DataFrame, total: Column, rare_below: int = 3, com
     return terms.withColumn("verdict", verdict)
 
 
+def p1_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertical index itself, a container a row, summed up by tag: what its bitmaps hold."""
+    records, _ = memory_records(spark, sf_dir)
+    return merge_bitmaps(term_bitmaps(records)).groupBy(F.col("term").alias("tag")).agg(F.sum("cardinality").alias("n_records"), F.sum("n_occurrences").alias("n_occurrences"))
+
+
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(*memory_records(spark, sf_dir))
 
@@ -170,4 +179,4 @@ _TERMS_SQL = f"""WITH {RECORDS_SQL},
   terms AS (SELECT tag, count(*) AS n_occurrences, count(DISTINCT record) AS n_records FROM spelt GROUP BY tag)
 SELECT tag, n_occurrences, n_records, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records > cast(0.1 AS double) * n THEN 'common' END AS verdict FROM terms, total"""
 
-SQL = {"p1_terms": _TERMS_SQL, "p1_found": f"SELECT tag, verdict FROM ({_TERMS_SQL}) WHERE verdict IS NOT NULL"}
+SQL = {"p1_terms": _TERMS_SQL, "p1_bitmaps": f"SELECT tag, n_records, n_occurrences FROM ({_TERMS_SQL})", "p1_found": f"SELECT tag, verdict FROM ({_TERMS_SQL}) WHERE verdict IS NOT NULL"}
