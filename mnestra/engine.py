@@ -17,6 +17,7 @@ from mnestra.functions.embed import Embedder, embed
 from mnestra.operators import fts, graph, store, vectors
 from mnestra.plans import consolidate, retrieve
 from mnestra.sources.config import Config
+from mnestra.sources.ship import ship_package
 from mnestra.sources.versioned import VersionedTable
 
 
@@ -34,6 +35,7 @@ class MemoryEngine:
 
     def __init__(self, spark: SparkSession, config: Config = Config(), provider: providers.Provider | None = None, embedder: Embedder | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None), new_id: Callable[[], str] = lambda: str(uuid.uuid4())):
         self.spark, self.config, self.now, self.new_id = spark, config, now, new_id
+        ship_package(spark)
         self.provider = provider or providers.provider(config.reasoning_provider)
         self.embedder = embedder or providers.embedder(config.embedding_provider, config.embedding_dim)
         root = config.project_dir

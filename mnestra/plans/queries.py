@@ -55,6 +55,12 @@ def q(spark: SparkSession, d: str, *ids: int) -> list[tuple]:
     return vectors.query_vectors(table(spark, d, "embeddings").where(F.col("vec_id").isin(*ids)))
 
 
+def q1(spark: SparkSession, d: str, id: int) -> list[float]:
+    """One query vector; of an empty table the zero vector."""
+    found = q(spark, d, id)
+    return found[0][1] if found else [0.0] * 64
+
+
 def text(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
@@ -227,7 +233,7 @@ def vec_topk_prefilter(spark, d):
 
 @query(f"{_near_sql((3,))} SELECT r.rank, m.id, round(1 / (1 + distance), 6) AS similarity, m.memory_type FROM r JOIN m ON m.id = r.id WHERE rank <= 50 AND NOT archived AND memory_type = 'fact' AND created_at >= '2024-01-01'")
 def vec_topk_postfilter(spark, d):
-    rows = retrieve.hits(m(spark, d), v(spark, d), q(spark, d, 3)[0][1], 50).where("memory_type = 'fact'").where(F.col("created_at") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = retrieve.hits(m(spark, d), v(spark, d), q1(spark, d, 3), 50).where("memory_type = 'fact'").where(F.col("created_at") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     return rows.select(F.col("vector_rank").cast("long").alias("rank"), "id", F.round("similarity", 6).alias("similarity"), "memory_type")
 
 
@@ -332,11 +338,11 @@ def _result(rows: DataFrame, *more: str) -> DataFrame:
 SELECT row_number() OVER (ORDER BY source, place) AS rank, source, round(similarity, 6) AS similarity, {_RESULT_SQL} FROM f JOIN m ON m.id = f.id WHERE NOT archived QUALIFY rank <= 10"""
 )
 def hybrid_search(spark, d):
-    return _result(retrieve.hybrid_search(m(spark, d), v(spark, d), "cache", q(spark, d, 3)[0][1], 10), "source")
+    return _result(retrieve.hybrid_search(m(spark, d), v(spark, d), "cache", q1(spark, d, 3), 10), "source")
 
 
 def _candidates(spark, d):
-    return retrieve.recall_candidates(m(spark, d), v(spark, d), q(spark, d, 3)[0][1])
+    return retrieve.recall_candidates(m(spark, d), v(spark, d), q1(spark, d, 3))
 
 
 _CAND_SQL = f"{_near_sql((3,))}, c AS (SELECT row_number() OVER (ORDER BY rank) AS ordinal, 1 / (1 + distance) AS similarity, m.* FROM r JOIN m ON m.id = r.id WHERE rank <= 50 AND NOT archived)"
