@@ -1,4 +1,4 @@
-"""Problem 3: the most similar vectors of every vector, by a permutation index.
+"""Problem 3: the most similar vectors of every vector, near ones by a permutation index, all by measuring all pairs.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted file of each
 pair of leading pivots. Vectors that meet in an inverted file are compared by the footrule
@@ -315,11 +315,125 @@ def mutual(neighbours: DataFrame) -> DataFrame:
     return pair.where("n = 2").select("id_a", "id_b")
 
 
+#: More than the error of a product of two unit vectors in single precision.
+SLACK = np.float32(2e-5)
+
+
+class Best:
+    """The ``k`` most similar distinct ids of each row so far, exactly; ids are numbered in their order."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.s, self.who = k, np.full((n, k), -1.0), np.full((n, k), -1, "i8")
+        self.least = np.full(n, -np.inf, "f4")
+
+    def seed(self, rows: np.ndarray, dots: np.ndarray, most: int) -> None:
+        """Bounds from products with ``most`` or more others, among which are ``k`` other ids."""
+        if dots.shape[1] >= most:
+            bound = np.partition(dots, dots.shape[1] - most, axis=1)[:, dots.shape[1] - most] - SLACK
+            self.least[rows] = np.maximum(self.least[rows], bound)
+
+    def add(self, row: np.ndarray, who: np.ndarray, s: np.ndarray) -> None:
+        hit = np.unique(row)
+        row = np.concatenate([np.repeat(hit, self.k), row])
+        who, s = np.concatenate([self.who[hit].ravel(), who]), np.concatenate([self.s[hit].ravel(), s])
+        row, who, s = row[who >= 0], who[who >= 0], s[who >= 0]
+        order = np.lexsort((-s, who, row))  # of equal ids the most similar
+        row, who, s = row[order], who[order], s[order]
+        first = np.r_[True, (row[1:] != row[:-1]) | (who[1:] != who[:-1])]
+        row, who, s = row[first], who[first], s[first]
+        order = np.lexsort((who, -s, row))
+        row, who, s = row[order], who[order], s[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        top = place < self.k
+        self.s[row[top], place[top]], self.who[row[top], place[top]] = s[top], who[top]
+        full = hit[self.who[hit, -1] >= 0]
+        self.least[full] = np.maximum(self.least[full], (1.5 - 0.5 / self.s[full, -1] - SLACK).astype("f4"))
+
+
+def all_against_all(ids: np.ndarray, x: np.ndarray, left: np.ndarray, k: int, tile: tuple[int, int] = (1024, 4096)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, other, similarity)``, each ``other`` a row too: up to ``k`` most similar ids of each row among rows of the other side.
+
+    Rows are of the ``left`` side or not; with one side only, all rows meet. Products in single
+    precision decide what is measured in double; none that may be among the ``k`` is passed over.
+    """
+    _, first, number, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+    most = (k + 1) * int(times.max())
+    x, best = unit(x), Best(len(x), k)
+    f = x.astype("f4")
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    one = not len(a) or not len(b)
+    if one:
+        a = b = np.arange(len(x))
+    for s in range(0, len(a), tile[0]):
+        rows = a[s : s + tile[0]]
+        for t in range(s if one else 0, len(b), tile[1]):
+            others = b[t : t + tile[1]]
+            dots = f[rows] @ f[others].T
+            for at, d in ((rows, dots), (others, dots.T)):
+                if np.isinf(best.least[at]).any():
+                    best.seed(at, np.ascontiguousarray(d), most)
+            near = (dots >= best.least[rows][:, None]) | (dots >= best.least[others])
+            i, j = np.divmod(np.flatnonzero(near), len(others))
+            i, j = rows[i], others[j]
+            other = number[i] != number[j]
+            i, j = i[other], j[other]
+            for u in range(0, len(i), 1 << 16):
+                p, q = i[u : u + (1 << 16)], j[u : u + (1 << 16)]
+                exact = similarity(x[p], x[q])
+                best.add(np.concatenate([p, q]), np.concatenate([number[q], number[p]]), np.concatenate([exact, exact]))
+    row, place = np.nonzero(best.who >= 0)
+    return row, first[best.who[row, place]], best.s[row, place]
+
+
+def nearest_of_all(vectors: DataFrame, k: int = 5, dim: int = 64, block: int = 65_536) -> DataFrame:
+    """``(id, rank, neighbour, similarity)``: the ``k`` most similar ids of each, however far, by measuring all pairs.
+
+    Ids and vectors as in ``nearest``, ids with many copies included; fewer than ``k`` rows only if there are
+    no more other ids. Vectors are dealt to blocks of about ``block``; each pair of blocks is one task, so work is
+    quadratic in the vectors, and each vector is sent once for each block.
+    """
+    n_blocks = max(1, -(-vectors.count() // block))
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of exact copies within a task the ``k`` + 1 smallest ids; larger ones are nobody's neighbour, their own are in ``copies``."""
+        kept: dict[bytes, list[str]] = {}
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(-1, dim)
+            keep = np.ones(len(x), bool)
+            for i, (name, body) in enumerate(zip(batch.column("id").to_pylist(), x)):
+                smallest = kept.setdefault(xxhash.xxh128_digest(body.tobytes()), [])
+                if name in smallest or (len(smallest) > k and name > smallest[-1]):
+                    keep[i] = False
+                else:
+                    smallest.append(name)
+                    smallest.sort()
+                    del smallest[k + 1 :]
+            yield batch.filter(pa.array(keep))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks() if (held := list(batches)) else []
+        if len(rows) == 0:
+            return
+        name, v, blocks = rows.column("id").combine_chunks(), rows.column("v").combine_chunks(), rows.column("block").to_numpy()
+        row, other, s = all_against_all(np.array(name.to_pylist(), dtype=object), v.flatten().to_numpy().reshape(-1, dim), blocks == blocks.min(), k)
+        for start in range(0, len(row), 65_536):
+            part = slice(start, start + 65_536)
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(row[part])), name.take(pa.array(other[part])), pa.array(s[part])], names=["id", "neighbour", "similarity"])
+
+    rows = _clean(vectors, dim).mapInArrow(few, "ref long, id string, v array<float>").withColumn("block", F.pmod("ref", F.lit(n_blocks)))
+    every = F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")
+    cell = lambda i, j: F.shiftright(F.greatest(i, j) * (F.greatest(i, j) + 1), 1) + F.least(i, j)
+    dealt = rows.select("id", "v", "block", F.explode(F.transform(every, lambda j: cell(F.col("block"), j).cast("int"))).alias("cell"))
+    found = dealt.repartitionById(n_blocks * (n_blocks + 1) // 2, "cell").drop("cell").mapInArrow(meet, "id string, neighbour string, similarity double")
+    # one shuffle by id serves both the sum and the rank
+    found = found.unionByName(copies(vectors, k, dim).drop("rank")).repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbour", "similarity")
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each usable id's neighbours, those of ids with many copies too."""
-    vectors = table(spark, sf_dir, "vectors")
-    found = nearest(vectors)
-    return found.unionByName(copies(vectors).join(found.select("id").distinct(), "id", "left_anti")).withColumn("similarity", F.round("similarity", 6))
+    """Each usable id's neighbours, near or far, those of ids with many copies too."""
+    return nearest_of_all(table(spark, sf_dir, "vectors")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from conftest import DATA
 
 from mnestra.llm import neighbours as nb
 
@@ -100,3 +101,53 @@ def test_empty_and_tiny(spark):
     v = np.ones(DIM)
     assert nb.nearest(table(spark, [("a", v, False)])).count() == 0
     assert lists(nb.nearest(table(spark, [("a", v, False), ("b", 2 * v, False)]))) == {"a": ["b"], "b": ["a"]}
+
+
+@pytest.mark.parametrize("block", [65_536, 500])
+def test_all_neighbours_are_those_of_brute_force(spark, block):
+    x = clustered(1500, 4)
+    ids = np.array([f"v{i:05}" for i in range(len(x))])
+    df = table(spark, list(zip(ids.tolist(), x, [False] * len(x)))).repartition(3)
+    want = brute(ids, x, 5, 0)
+    assert min(map(len, want.values())) == 5
+    assert lists(nb.nearest_of_all(df, 5, block=block)) == want
+
+
+@pytest.mark.parametrize("sides", ["one", "two"])
+def test_tiles_miss_nothing(sides):
+    rng = np.random.default_rng(5)
+    x = clustered(400, 6)
+    x[50:70] = x[50] * rng.uniform(1, 2, (20, 1))  # alike but for their length
+    ids = np.array([f"v{i // 2:03}" for i in range(400)], dtype=object)  # each id has two vectors
+    left = np.ones(400, bool) if sides == "one" else np.arange(400) < 150
+    got = {}
+    for i, j, s in zip(*nb.all_against_all(ids, x, left, 5, (32, 64))):
+        got.setdefault(i, []).append((s, ids[j]))
+    u = nb.unit(x)
+    for i in range(400):
+        best = {}
+        for j, s in enumerate(nb.similarity(u, u[i][None])):
+            if ids[j] != ids[i] and (sides == "one" or left[i] != left[j]):
+                best[ids[j]] = max(s, best.get(ids[j], 0))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5]
+        assert [n for n, _ in want] == [n for _, n in got[i]]
+
+
+def test_all_neighbours_with_copies_and_dirt(spark):
+    rng = np.random.default_rng(1)
+    v, w = rng.standard_normal(DIM), rng.standard_normal(DIM)
+    rows = [(f"c{i:02}", v, False) for i in range(9)] + [("C00 ", v, False), ("c08", w, False), ("gone", v, True), ("short", v[:5], False), (None, v, False), ("far", w, None)]
+    for parts in (1, 3):
+        got = lists(nb.nearest_of_all(table(spark, rows).repartition(parts), 5))
+        assert set(got) == {f"c{i:02}" for i in range(9)} | {"far"}
+        assert got["c00"] == [f"c{i:02}" for i in range(1, 6)] and got["c07"] == [f"c{i:02}" for i in range(5)]
+        assert got["c08"] == [f"c{i:02}" for i in range(5)]  # by its copy of v; "far" is a copy of its other vector
+        assert got["far"] == ["c08", "c00", "c01", "c02", "c03"]
+    assert nb.nearest_of_all(table(spark, [])).count() == 0
+    assert nb.nearest_of_all(table(spark, [("a", v, False)])).count() == 0
+
+
+def test_every_usable_id_has_its_neighbours(spark):
+    got = nb.p3_neighbours(spark, DATA)
+    usable = nb._clean(nb.table(spark, DATA, "vectors"), DIM).select("id").distinct()
+    assert got.groupBy("id").count().where("count = 5").count() == usable.count() > 100
