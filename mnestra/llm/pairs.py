@@ -31,25 +31,35 @@ def frequent_items(baskets: DataFrame, total: int, least: int, share: int) -> Da
     return n.where((F.col("n") >= least) & (F.col("n") * share >= total)).withColumn("no", F.row_number().over(W.orderBy("item")))
 
 
-def together(baskets: DataFrame, total: int, mentions: int, least: int = 5, share: int = 2000, chunk: int = CHUNK, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
+def together(baskets: DataFrame, total: int, mentions: int, least: int = 5, share: int | None = 2000, chunk: int = CHUNK, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
     """``(tag_a, tag_b, n_ab, n_a, n_b, lift, pmi)`` of pairs of items in at least ``least`` and 1 in ``share`` baskets.
 
     ``baskets`` has ``(record, items)``, ``total`` baskets with at most ``mentions`` items in all; null items are none, repeats count once, baskets under two
     items give no pair, ``tag_a < tag_b``. Lift is how many times more often than chance, pmi its
     binary logarithm. An empty table gives none.
 
-    Items below the bounds are left out first. If by ``frequent_bound`` at most ``broadcast_items``
+    With ``least`` 1 and no ``share``, all pairs that stand together at all: items are neither counted beforehand nor numbered.
+
+    Otherwise items below the bounds are left out first. If by ``frequent_bound`` at most ``broadcast_items``
     can be left, these are broadcast and the baskets stay where the record's shuffle put them; else
     they are joined by a shuffle that spares hot items. A basket of at most ``chunk`` items gives its pairs in place. A larger one is cut into chunks, and each pair of
     chunks goes to a task of its own choice. Counts are combined before their shuffle.
     """
     spark = baskets.sparkSession
     baskets = baskets.select("record", F.array_distinct(F.filter("items", lambda i: i.isNotNull())).alias("items"))
-    items = frequent_items(baskets, total, least, share)
+    every = least <= 1 and share is None
+    share = share or max(total, 1)
     few = frequent_bound(total, mentions, least, share) <= broadcast_items
-    exploded, numbered = baskets.select("record", F.explode("items").alias("item")), items.select("item", "no")
-    kept = exploded.join(F.broadcast(numbered), "item") if few else join_unique(exploded, numbered, "item")
-    kept = kept.groupBy("record").agg(F.sort_array(F.collect_list("no")).alias("items")).withColumn("size", F.size("items")).where("size > 1")
+    exploded = baskets.select("record", F.explode("items").alias("item"))
+    if every:
+        items = exploded.groupBy("item").agg(F.count("*").alias("n")).withColumn("no", F.col("item"))
+        kept = baskets.select("record", F.sort_array("items").alias("items"))
+    else:
+        items = frequent_items(baskets, total, least, share)
+        numbered = items.select("item", "no")
+        kept = exploded.join(F.broadcast(numbered), "item") if few else join_unique(exploded, numbered, "item")
+        kept = kept.groupBy("record").agg(F.sort_array(F.collect_list("no")).alias("items"))
+    kept = kept.withColumn("size", F.size("items")).where("size > 1")
 
     small = kept.where(F.col("size") <= chunk).select("items", F.posexplode("items").alias("at", "a")).select("a", F.explode(F.slice("items", F.col("at") + 2, F.greatest(F.size("items") - F.col("at") - 1, F.lit(0)))).alias("b"))
     starts = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int"))
@@ -66,14 +76,20 @@ def together(baskets: DataFrame, total: int, mentions: int, least: int = 5, shar
     return found.select("tag_a", "tag_b", "n_ab", "n_a", "n_b", F.round(lift, 6).alias("lift"), F.round(F.log2(lift), 6).alias("pmi"), F.lit(total).cast("long").alias("n_total"))
 
 
-def memory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of tags; the numbers of records and of tags of all rows come from one pass over two columns."""
+def memory_pairs(spark: SparkSession, sf_dir: str, least: int = 5, share: int | None = 2000) -> DataFrame:
+    """Pairs of tags within bounds as in ``together``; the numbers of records and of tags of all rows come from one pass over two columns."""
     memories = table(spark, sf_dir, "memories")
     known = memories.agg(F.countDistinct(reference_key(F.col("id"))).alias("n"), F.sum(F.greatest(F.size("tags"), F.lit(0))).alias("mentions")).first()
-    return together(records(memories).withColumnRenamed("terms", "items"), known["n"], known["mentions"] or 0)
+    return together(records(memories).withColumnRenamed("terms", "items"), known["n"], known["mentions"] or 0, least, share)
+
+
+def p2_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of tags that stand together on a record, however rarely."""
+    return memory_pairs(spark, sf_dir, 1, None).drop("n_total")
 
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of ``p2_all_pairs`` within the support bounds of ``p2_found``."""
     return memory_pairs(spark, sf_dir).drop("n_total")
 
 

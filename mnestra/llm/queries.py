@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_bitmaps": terms.p1_bitmaps,
         "p2_found": pairs.p2_found,
         "p2_pairs": pairs.p2_pairs,
+        "p2_all_pairs": pairs.p2_all_pairs,
         "p3_found": neighbours.p3_found,
         "p3_neighbours": neighbours.p3_neighbours,
         "p4_found": pii.p4_found,

@@ -84,6 +84,22 @@ def test_pairs_like_brute_force_with_large_baskets(spark):
     assert pairs.together(baskets(spark, []), 0, 0).count() == 0
 
 
+def test_all_pairs_have_no_support_bound(spark, duck):
+    rng = np.random.default_rng(4)
+    rows = [[f"i{x:02}" for x in rng.choice(60, rng.integers(0, 5))] for _ in range(200)] + [[f"i{x:02}" for x in rng.permutation(40)], None, [None], ["i01", "i01", None]]
+    df = baskets(spark, rows)
+    for chunk, few in ((128, 500_000), (7, 0)):
+        got = [tuple(r)[:5] for r in pairs.together(df, len(rows), sum(len(b or []) for b in rows), 1, None, chunk, few).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 1, len(rows))
+    assert pairs.together(baskets(spark, []), 0, 0, 1, None).count() == 0
+    sql = f"""WITH {records.RECORDS_SQL}, has AS (SELECT DISTINCT record, tag FROM spelt), single AS (SELECT tag, count(*) AS n FROM has GROUP BY tag),
+      pair AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS n_ab FROM has x JOIN has y ON x.record = y.record AND x.tag < y.tag GROUP BY ALL)
+      SELECT tag_a, tag_b, n_ab, a.n AS n_a, b.n AS n_b, round(n_ab::double * total.n / (a.n::double * b.n), 6) AS lift, round(log2(n_ab::double * total.n / (a.n::double * b.n)), 6) AS pmi
+      FROM pair JOIN single a ON a.tag = tag_a JOIN single b ON b.tag = tag_b, total"""
+    got = same(pairs.p2_all_pairs(spark, DATA), duck, sql)
+    assert len(got) > 2 * pairs.p2_pairs(spark, DATA).count()
+
+
 def test_queries_agree_with_sql(spark, duck):
     for name in queries.oracle_sql():
         same(queries.queries()[name](spark, DATA), duck, queries.oracle_sql()[name])
