@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnestra.sources.tables import reference_key
+from mnestra.sources.tables import ensure_checkpoint_dir, reference_key
 
 
 def triples(raw: DataFrame) -> DataFrame:
@@ -55,17 +55,21 @@ def without_memories(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return rows.join(deleted.select(F.col("id").alias("memory_id")).where("memory_id IS NOT NULL"), "memory_id", "left_anti").select(rows.columns)
 
 
-def chain(rows: DataFrame, start: str, predicate: str = "next_step", most: int = 64) -> DataFrame:
-    """``(step, subject, object)``: steps that follow ``start`` along a predicate, each triple once.
+def chain(rows: DataFrame, start: str, predicate: str = "next_step", most: int | None = None) -> DataFrame:
+    """``(step, subject, object)``: steps that follow ``start`` along a predicate, each triple once, at its first step.
 
-    A recursive query; ``most`` steps bound a cycle.
+    Steps are followed until there is no new subject, so a cycle ends; a ValueError if steps go on beyond ``most``.
+    Each step's triples are checkpointed.
     """
-    spark = rows.sparkSession
+    ensure_checkpoint_dir(rows.sparkSession)
     edges = match(rows, predicate=predicate).select("subject", "object").distinct()
-    return spark.sql(
-        """WITH RECURSIVE walk(step, subject, object) AS (
-             SELECT 1, subject, object FROM {edges} WHERE subject = {start}
-             UNION ALL SELECT w.step + 1, e.subject, e.object FROM walk w JOIN {edges} e ON e.subject = w.object WHERE w.step < {most})
-           SELECT min(step) AS step, subject, object FROM walk GROUP BY subject, object""",
-        edges=edges, start=start, most=most,
-    )
+    found = level = edges.where(F.col("subject") == start).select(F.lit(1).alias("step"), "subject", "object").checkpoint()
+    step = 1
+    while not level.isEmpty():
+        step += 1
+        ahead = level.select(F.col("object").alias("subject")).distinct().join(found.select("subject").distinct(), "subject", "left_anti")
+        level = edges.join(ahead, "subject").select(F.lit(step).alias("step"), "subject", "object").checkpoint()
+        if most is not None and step > most and not level.isEmpty():
+            raise ValueError(f"more than {most} steps follow {start!r}")
+        found = found.unionByName(level).checkpoint()
+    return found

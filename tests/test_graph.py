@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from mnestra import schema
 from mnestra.operators import graph
 
@@ -45,3 +47,13 @@ def test_chain(spark):
     t = table(spark, [(1, "a", "next_step", "b", None, 0), (2, "b", "next_step", "c", None, 0), (3, "c", "next_step", "a", None, 0), (4, "b", "other", "z", None, 0)])
     got = graph.chain(t, "a", most=5).orderBy("step").collect()
     assert [(r["step"], r["subject"], r["object"]) for r in got] == [(1, "a", "b"), (2, "b", "c"), (3, "c", "a")]
+
+
+def test_chain_has_no_step_limit(spark):
+    n = 70
+    t = table(spark, [(i, f"s{i}", "next_step", f"s{i + 1}", None, 0) for i in range(n)] + [(n, "s1", "next_step", "s5", None, 0), (n + 1, "s9", "next_step", None, None, 0)]).coalesce(1).cache()
+    got = {(r["subject"], r["object"]): r["step"] for r in graph.chain(t, "s0").collect()}
+    assert len(got) == n + 2 and got["s69", "s70"] == 67 and got["s4", "s5"] == 5 and got["s5", "s6"] == 3
+    with pytest.raises(ValueError, match="more than 3 steps"):
+        graph.chain(t, "s0", most=3)
+    assert graph.chain(t, "nowhere").count() == 0
