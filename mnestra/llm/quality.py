@@ -184,7 +184,6 @@ def text_statistics(texts: list[str | None], common: np.ndarray, tokens: list[np
     out["distinct"] = np.bincount((keyed[fresh] >> np.uint64(40)).astype("i8"), minlength=n + 1)[1 : n + 1].astype("f8")
     out["tokens"] = per_doc(ts)
     sentence = _one_of(last, _STOPS) & (token_len >= 4) & ((token_letters >= 3) | (token_digits >= 1))  # not n.d. or Ex.
-    out["sentences"] = per_doc(ts, sentence)
     hexa = _sums(hex_of[code])
     out["hex_tokens"] = per_doc(ts, (hexa[te] - hexa[ts] == token_len) & ((token_len == 2) | (token_len == 8)))
     out["single_letters"] = per_doc(ts, (token_len == 1) & (token_letters == 1))
@@ -204,6 +203,9 @@ def text_statistics(texts: list[str | None], common: np.ndarray, tokens: list[np
     ls, le = ls[some], le[some]
     begin, end = np.searchsorted(ts, ls), np.searchsorted(ts, le)
     line_tokens = end - begin
+    number_first = _one_of(last[begin], ").") & (token_digits[begin] > 0) & (token_digits[begin] == token_len[begin] - 1)  # 101. is no sentence
+    sentence[begin[number_first]] = False
+    out["sentences"] = per_doc(ts, sentence)
     sentence_sum, common_sum = _sums(sentence), _sums(is_common)
     line_sentences = sentence_sum[end] - sentence_sum[begin]
     line_common = common_sum[np.searchsorted(ws, le)] - common_sum[np.searchsorted(ws, ls)]
@@ -226,7 +228,7 @@ def text_statistics(texts: list[str | None], common: np.ndarray, tokens: list[np
     delimited = (cells >= 2) & (line_sentences <= 1)
     # rows set with single blanks: a label with a number, then cells
     label = (head_len <= 6) & (head_digits > 0) & (head_digits + 2 >= head_letters) | np.isin(token_hash[begin], word_hashes(["ex.", "no.", "nr."]))
-    numbered = _one_of(head_last, ").") & (head_len <= 4) & (head_letters == 0)
+    numbered = _one_of(head_last, ").") & (head_len <= 4) & (head_letters == 0) | number_first
     spaced = label & ~numbered & (line_tokens >= 4) & (line_sentences == 0) & ~_one_of(last[end - 1], ".;,:") & (line_common <= 0.34 * line_tokens)
     row = delimited | spaced
     entry = ~row & (line_sentences == 0) & (line_tokens <= 16) & ~stops

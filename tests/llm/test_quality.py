@@ -55,6 +55,14 @@ def test_kinds():
     assert kinds(None, "", " \n\t ") == [None] * 3
 
 
+def test_counters_of_long_lists_are_no_sentences():
+    names = ["pin", "first spring", "tube of the valve", "inner cap of steel"]
+    for start in (1, 100, 990, 9990):
+        assert kinds("\n".join(f"{start + i}. {names[i % 4]}" for i in range(150))) == ["list"], start
+    claims = "\n".join(f"{100 + i}. The device of claim {i + 1}, wherein the spring is bent." for i in range(20))
+    assert kinds(claims) == ["prose"] and qa.text_statistics([claims], COMMON)["sentences"][0] == 20
+
+
 def test_reasons_are_recorded():
     counts = qa.text_statistics(["page page page page page page", PROSE], COMMON)
     assert qa.judge(counts)[1].tolist() == ["repeats a few tokens", "sentences"]
