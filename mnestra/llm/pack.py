@@ -23,10 +23,10 @@ class Capacity:
 
     tokens: int = 4096
     documents: int = 1024
-    attention: float | None = None  # None: tokens squared, which any fitting set of pieces meets
+    attention: float | None = None  # kept as given; None: tokens squared, which any fitting set of pieces meets
 
     def vector(self) -> np.ndarray:
-        return np.array([self.tokens, self.documents, float(self.tokens) ** 2 if self.attention is None else max(self.attention, float(self.tokens) ** 2 / 2)], "f8")
+        return np.array([self.tokens, self.documents, float(self.tokens) ** 2 if self.attention is None else self.attention], "f8")
 
 
 def best_fit(sizes: np.ndarray, capacity: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 0.05, 0.25), rule: str = "norm") -> np.ndarray:
@@ -63,7 +63,7 @@ def best_fit(sizes: np.ndarray, capacity: Capacity = Capacity(), weights: tuple[
             used, made = used + 1, made + 1
         rest[at] -= need
         out[k] = number[at]
-        if rest[at, 0] < max(least, 1) or rest[at, 1] < 1:  # closed: nothing left fits
+        if rest[at, 0] < max(least, 1) or rest[at, 1] < 1 or rest[at, 2] < float(least) ** 2:  # closed: nothing left fits
             used -= 1
             rest[at:used], number[at:used] = rest[at + 1 : used + 1].copy(), number[at + 1 : used + 1].copy()
     return out

@@ -86,6 +86,17 @@ def test_best_fit_keeps_every_bound(sizes, documents, attention, rule):
     check(sizes, bins, capacity)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_tight_attention_is_kept(rule):
+    sizes = np.random.default_rng(2).integers(0, 60, 300)
+    capacity = pack.Capacity(100, 50, 1000.0)  # under tokens squared / 2
+    assert capacity.vector()[2] == 1000
+    bins = pack.best_fit(sizes, capacity, rule=rule)
+    cost, count = np.bincount(bins, sizes.astype("f8") ** 2), np.bincount(bins)
+    assert (count[cost > 1000] == 1).all() and (cost[count > 1] <= 1000).all() and count.max() > 1
+    assert np.bincount(bins, sizes).max() <= 100 and (bins >= 0).all()
+
+
 def test_best_fit_leaves_little_space():
     sizes = np.minimum(4096, np.random.default_rng(0).lognormal(6, 0.8, 8000).astype("i8"))
     for rule in ("norm", "dot"):
