@@ -1,14 +1,14 @@
-"""Problem 3: the most similar vectors of every vector, near ones by a permutation index, all by measuring all pairs.
+"""Problem 3: the most similar vectors of every vector, by a permutation index and an exact scan for what it leaves open.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted file of each
-pair of leading pivots. Vectors that meet in an inverted file are compared by the footrule
-distance of their pivot orders, and what passes is ranked again by exact similarity.
+pair of leading pivots. Vectors that meet in an inverted file are ranked by the footrule distance
+of their pivot orders; each vector's best candidates are measured exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -20,29 +20,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnestra.operators.skew import join_unique
-from mnestra.sources.tables import reference_key, table
+from mnestra.sources.tables import ensure_checkpoint_dir, reference_key, table
 
 
 @dataclass(frozen=True)
 class IndexConfig:
     """Parameters of the index.
 
-    ``pivots``: None takes 2.4 times the square root of the number of rows, a power of two from 64
+    ``pivots``: None takes 12 times the square root of the number of rows, a power of two from 64
     to 16,384 (at most 4 MB for 64 components). ``sample``: vectors sent to the driver, from which
-    pivots and crowded inverted files are known; the smallest hashes of ids, so it doesn't depend on
-    order. ``order``: pivots kept of a permutation. ``reach``: leading positions i < j are posted
-    together if i + j is at most this. ``footrule``: share of the largest footrule distance up to
-    which a pair goes on. ``bits``: sign bits in which a pair may differ of 128; None
-    takes 2.5 standard deviations above the mean of pairs at the least similarity asked for. ``list_size``: members of an inverted file beyond which it is split
+    pivots, the footrule bound and crowded inverted files are known; the smallest hashes of ids, so it doesn't depend on
+    order. ``order``: pivots kept of a permutation, a multiple of 4. ``reach``: leading positions i < j are posted
+    together if i + j is at most this. ``keep``: candidates of each vector, those of least footrule
+    distance, that are measured. ``footrule``: share of the largest footrule distance beyond which a pair is not
+    worth ranking; None takes the distance that 999 of 1,000 pairs at the least similarity asked
+    for don't exceed, by the sample. ``list_size``: members of an inverted file beyond which it is split
     into blocks that meet pair by pair in tasks of their own.
     """
 
     pivots: int | None = None
     sample: int = 16_384
-    order: int = 12
+    order: int = 24
     reach: int = 7
-    footrule: float = 0.8
-    bits: int | None = None
+    keep: int = 24
+    footrule: float | None = None
     list_size: int = 16_384
     seed: int = 7
 
@@ -84,30 +85,37 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order * (order + 1) - 2 * common
 
 
-def sign_bits(floor: float) -> int:
-    """Of 128 random directions, how many may part two unit vectors of similarity ``floor``."""
-    share = float(np.arccos(np.clip(1 - (1 / max(floor, 0.2) - 1) / 2, -1, 1))) / np.pi
-    return int(np.ceil(128 * share + 2.5 * (128 * share * (1 - share)) ** 0.5))
-
-
 class PermutationIndex:
-    """Pivots, sign directions and crowded inverted files, fitted on a bounded sample."""
+    """Pivots, footrule bound and crowded inverted files, fitted on a bounded sample."""
 
-    def __init__(self, sample: np.ndarray, n_rows: int, config: IndexConfig):
+    def __init__(self, sample: np.ndarray, n_rows: int, config: IndexConfig, floor: float = 0.8):
         self.config, self.dim = config, sample.shape[1]
-        wanted = config.pivots or 1 << max(6, min(14, round(np.log2(2.4 * max(n_rows, 1) ** 0.5))))
+        wanted = config.pivots or 1 << max(6, min(14, round(np.log2(12 * max(n_rows, 1) ** 0.5))))
         n_sample, sample = len(sample), unit(sample)
         sample = sample[np.sort(np.unique(sample.round(6), axis=0, return_index=True)[1])]  # copies crowd no inverted file
         self.pivots = sample[:wanted].astype("f4")
-        self.directions = np.random.default_rng(config.seed).standard_normal((self.dim, 128)).astype("f4")
         self.posted = [(i, j) for i, j in combinations(range(min(config.order, len(self.pivots))), 2) if i + j <= config.reach]
         self.blocks: dict[int, int] = {}
-        keys, counts = np.unique(self.keys(self.permute(sample.astype("f4"))), return_counts=True)
+        orders = self.permute(sample.astype("f4"))
+        self.limit = int(self.bound(sample, orders, floor) if config.footrule is None else config.footrule * config.order * (config.order + 1))
+        keys, counts = np.unique(self.keys(orders), return_counts=True)
         for key, n in zip(keys, counts):
             size = n * n_rows / max(n_sample, 1)
             if n > 8 and size > config.list_size:
                 self.blocks[int(key)] = int(-(-size // config.list_size))
 
+    def bound(self, sample: np.ndarray, orders: np.ndarray, floor: float, most: int = 4096) -> float:
+        """The footrule distance that 999 of 1,000 pairs of similarity ``floor`` keep, from sample vectors moved that far."""
+        x = sample[:most]
+        if floor <= 0.2 or x.shape[1] < 2:  # nothing is farther than opposite vectors
+            return self.config.order * (self.config.order + 1)
+        aside = np.random.default_rng(self.config.seed).standard_normal(x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        aside /= np.maximum(np.sqrt((aside * aside).sum(1, keepdims=True)), 1e-12)
+        cosine = 1 - (1 / floor - 1) / 2
+        moved = self.permute((cosine * x + (1 - cosine * cosine) ** 0.5 * aside).astype("f4"))
+        return float(np.quantile(footrule(orders[: len(x)], moved), 0.999, method="higher"))
+
     def permute(self, x: np.ndarray) -> np.ndarray:
         """The nearest pivots of each row in order; fewer pivots than places leave -1 at the end."""
         order = min(self.config.order, len(self.pivots))
@@ -126,14 +134,10 @@ class PermutationIndex:
             return np.zeros((len(p), 1), "i8")
         return np.stack([np.minimum(p[:, i], p[:, j]) << 14 | np.maximum(p[:, i], p[:, j]) for i, j in self.posted], 1)
 
-    def signs(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits(x @ self.directions > 0, axis=1).view("<i8")
-
     def post(self, refs: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-        """Columns of the postings of ``x``: key, ref, the permutation's and the signs' words."""
-        perms, signs = self.permute(x), self.signs(x)
-        words = perms.astype("<i2").view("<i8") if self.config.order % 4 == 0 else np.pad(perms, ((0, 0), (0, -self.config.order % 4)), constant_values=-1).astype("<i2").view("<i8")
-        keys = self.keys(perms)
+        """Columns of the postings of ``x``: key, ref, the permutation's words."""
+        perms = self.permute(x)
+        words, keys = perms.astype("<i2").view("<i8"), self.keys(perms)
         row = np.repeat(np.arange(len(x)), keys.shape[1])
         key = keys.ravel() << 32
         if self.blocks:
@@ -147,32 +151,28 @@ class PermutationIndex:
                 cell = np.minimum(b, j) << 16 | np.maximum(b, j)
                 plain = n_blocks == 1
                 key, row = np.concatenate([key[plain], np.repeat(key[crowded], times) | cell]), np.concatenate([row[plain], np.repeat(row[crowded], times)])
-        return [key, refs[row], *words[row].T, *signs[row].T]
+        return [key, refs[row], *words[row].T]
 
-    def meet(self, columns: list[np.ndarray], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of refs (smaller first) that share an inverted file and pass, with their footrule distance.
+    def meet(self, columns: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of refs (smaller first) that share an inverted file, with their footrule distance if it is within the bound.
 
         ``columns`` are postings sorted by key, whole files only; ``most`` pairs are held at a time.
         """
         key, ref = columns[0], columns[1]
-        n_words = len(columns) - 4
-        perms = np.ascontiguousarray(np.stack(columns[2 : 2 + n_words], 1)).view("<i2")[:, : self.config.order]
-        signs = [c.view("u8") for c in columns[-2:]]
+        perms = np.ascontiguousarray(np.stack(columns[2:], 1)).view("<i2")[:, : self.config.order]
         ends = np.searchsorted(key, key, "right")
         partners = ends - np.arange(len(key)) - 1
         upto = np.cumsum(partners)
-        limit = self.config.footrule * self.config.order * (self.config.order + 1)
         start = 0
         while start < len(key):
             stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
             n = partners[start:stop]
             a = np.repeat(np.arange(start, stop), n)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-            differ = np.bitwise_count(signs[0][a] ^ signs[0][b]) + np.bitwise_count(signs[1][a] ^ signs[1][b])
-            near = (differ <= self.config.bits) & (ref[a] != ref[b])
-            a, b = a[near], b[near]
+            other = ref[a] != ref[b]
+            a, b = a[other], b[other]
             distance = footrule(perms[a], perms[b])
-            near = distance <= limit
+            near = distance <= self.limit
             a, b = ref[a[near]], ref[b[near]]
             yield np.minimum(a, b), np.maximum(a, b), distance[near]
             start = stop
@@ -186,26 +186,26 @@ def _keyed(vectors: DataFrame) -> DataFrame:
 def fit(vectors: DataFrame, n_rows: int | None = None, floor: float = 0.8, config: IndexConfig = IndexConfig(), dim: int = 64) -> PermutationIndex | None:
     """The index's parameters from a bounded sample; None if no vector is usable."""
     n_rows = vectors.count() if n_rows is None else n_rows
-    config = config if config.bits is not None else replace(config, bits=sign_bits(floor))
     size = max(config.sample, config.pivots or 0)
     # about twice the sample by its hashes first, so that no task sends its own top of that size
     below = F.lit(int(min(2**63 - 1, -(2**63) + 2**64 * 2 * size / max(n_rows, 1))))
     rows = _keyed(vectors).where((F.size("embedding") == dim) & (F.col("ref") <= below)).orderBy("ref").select("embedding", "deleted").limit(size).toArrow().to_batches()
     parts = [usable(b, dim)[1] for b in rows if b.num_rows]
     sample = np.concatenate(parts) if parts else np.zeros((0, dim), "f4")
-    return PermutationIndex(sample, n_rows, config) if len(sample) else None
+    return PermutationIndex(sample, n_rows, config, floor) if len(sample) else None
 
 
 def candidates(vectors: DataFrame, index: PermutationIndex, k: int = 5) -> DataFrame:
     """``(a, b, footrule)``: pairs of 64-bit refs of ids that may be among each other's ``k`` nearest.
 
-    Of exact copies within a task only the ``k`` + 1 smallest ids are posted: a larger one has that many copies
+    Of all that a vector meets within the footrule bound those with fewer than ``keep`` nearer ones are its candidates, so
+    ties stay together; a pair goes on if either is the other's candidate. The rank's limit works before its shuffle. Of exact copies within a task only the ``k`` + 1 smallest ids are posted: a larger one has that many copies
     before it, so it is nobody's neighbour and its neighbours are its copies. Postings are grouped
     by one shuffle and stream by, file after file.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(index)
     n_words = -(-index.config.order // 4)
-    names = ["key", "ref", *[f"p{i}" for i in range(n_words)], "s0", "s1"]
+    names = ["key", "ref", *[f"p{i}" for i in range(n_words)]]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, kept = shared.value, {}
@@ -244,7 +244,11 @@ def candidates(vectors: DataFrame, index: PermutationIndex, k: int = 5) -> DataF
 
     postings = _keyed(vectors).mapInArrow(post, ", ".join(f"{c} long" for c in names))
     pairs = postings.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long, footrule int")
-    return pairs.groupBy("a", "b").agg(F.min("footrule").alias("footrule"))
+    pairs = pairs.groupBy("a", "b").agg(F.min("footrule").alias("footrule"))
+    sides = F.explode(F.array(F.struct(F.col("a").alias("ref"), F.col("b").alias("other")), F.struct(F.col("b").alias("ref"), F.col("a").alias("other")))).alias("s")
+    place = F.rank().over(W.partitionBy("ref").orderBy("footrule"))
+    best = pairs.select("footrule", sides).select("s.*", "footrule").withColumn("place", place).where(F.col("place") <= index.config.keep)
+    return best.groupBy(F.least("ref", "other").alias("a"), F.greatest("ref", "other").alias("b")).agg(F.min("footrule").alias("footrule"))
 
 
 def _clean(vectors: DataFrame, dim: int) -> DataFrame:
@@ -350,8 +354,8 @@ class Best:
         self.least[full] = np.maximum(self.least[full], (1.5 - 0.5 / self.s[full, -1] - SLACK).astype("f4"))
 
 
-def all_against_all(ids: np.ndarray, x: np.ndarray, left: np.ndarray, k: int, tile: tuple[int, int] = (1024, 4096)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, other, similarity)``, each ``other`` a row too: up to ``k`` most similar ids of each row among rows of the other side.
+def all_against_all(ids: np.ndarray, x: np.ndarray, left: np.ndarray, k: int, tile: tuple[int, int] = (1024, 4096), asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, other, similarity)``, each ``other`` a row too: up to ``k`` most similar ids of each row that ``asks`` (all by default) among rows of the other side.
 
     Rows are of the ``left`` side or not; with one side only, all rows meet. Products in single
     precision decide what is measured in double; none that may be among the ``k`` is passed over.
@@ -359,6 +363,8 @@ def all_against_all(ids: np.ndarray, x: np.ndarray, left: np.ndarray, k: int, ti
     _, first, number, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
     most = (k + 1) * int(times.max())
     x, best = unit(x), Best(len(x), k)
+    if asks is not None:
+        best.least[~asks] = np.inf
     f = x.astype("f4")
     a, b = np.flatnonzero(left), np.flatnonzero(~left)
     one = not len(a) or not len(b)
@@ -370,7 +376,7 @@ def all_against_all(ids: np.ndarray, x: np.ndarray, left: np.ndarray, k: int, ti
             others = b[t : t + tile[1]]
             dots = f[rows] @ f[others].T
             for at, d in ((rows, dots), (others, dots.T)):
-                if np.isinf(best.least[at]).any():
+                if np.isneginf(best.least[at]).any():
                     best.seed(at, np.ascontiguousarray(d), most)
             near = (dots >= best.least[rows][:, None]) | (dots >= best.least[others])
             i, j = np.divmod(np.flatnonzero(near), len(others))
@@ -380,17 +386,21 @@ def all_against_all(ids: np.ndarray, x: np.ndarray, left: np.ndarray, k: int, ti
             for u in range(0, len(i), 1 << 16):
                 p, q = i[u : u + (1 << 16)], j[u : u + (1 << 16)]
                 exact = similarity(x[p], x[q])
-                best.add(np.concatenate([p, q]), np.concatenate([number[q], number[p]]), np.concatenate([exact, exact]))
+                row, who, s2 = np.concatenate([p, q]), np.concatenate([number[q], number[p]]), np.concatenate([exact, exact])
+                if asks is not None:
+                    row, who, s2 = row[asks[row]], who[asks[row]], s2[asks[row]]
+                if len(row):
+                    best.add(row, who, s2)
     row, place = np.nonzero(best.who >= 0)
     return row, first[best.who[row, place]], best.s[row, place]
 
 
-def nearest_of_all(vectors: DataFrame, k: int = 5, dim: int = 64, block: int = 65_536) -> DataFrame:
+def nearest_of_all(vectors: DataFrame, k: int = 5, dim: int = 64, block: int = 65_536, done: DataFrame | None = None) -> DataFrame:
     """``(id, rank, neighbour, similarity)``: the ``k`` most similar ids of each, however far, by measuring all pairs.
 
     Ids and vectors as in ``nearest``, ids with many copies included; fewer than ``k`` rows only if there are
-    no more other ids. Vectors are dealt to blocks of about ``block``; each pair of blocks is one task, so work is
-    quadratic in the vectors, and each vector is sent once for each block.
+    no more other ids. Ids of ``done`` get no rows but are others' neighbours. Vectors are dealt to blocks of about ``block``; each pair of blocks is one task, so work is
+    quadratic in the vectors, and each vector is sent once for each block. Two blocks without an asking vector don't meet.
     """
     n_blocks = max(1, -(-vectors.count() // block))
 
@@ -412,28 +422,47 @@ def nearest_of_all(vectors: DataFrame, k: int = 5, dim: int = 64, block: int = 6
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks() if (held := list(batches)) else []
-        if len(rows) == 0:
+        if len(rows) == 0 or not (asks := rows.column("asks").to_numpy()).any():
             return
         name, v, blocks = rows.column("id").combine_chunks(), rows.column("v").combine_chunks(), rows.column("block").to_numpy()
-        row, other, s = all_against_all(np.array(name.to_pylist(), dtype=object), v.flatten().to_numpy().reshape(-1, dim), blocks == blocks.min(), k)
+        row, other, s = all_against_all(np.array(name.to_pylist(), dtype=object), v.flatten().to_numpy().reshape(-1, dim), blocks == blocks.min(), k, asks=asks)
         for start in range(0, len(row), 65_536):
             part = slice(start, start + 65_536)
             yield pa.RecordBatch.from_arrays([name.take(pa.array(row[part])), name.take(pa.array(other[part])), pa.array(s[part])], names=["id", "neighbour", "similarity"])
 
     rows = _clean(vectors, dim).mapInArrow(few, "ref long, id string, v array<float>").withColumn("block", F.pmod("ref", F.lit(n_blocks)))
+    late = copies(vectors, k, dim).drop("rank")
+    if done is None:
+        rows = rows.withColumn("asks", F.lit(True))
+    else:
+        rows = rows.join(done.select("id", F.lit(False).alias("no")), "id", "left").withColumn("asks", F.coalesce("no", F.lit(True)))
+        late = late.join(done.select("id"), "id", "left_anti")
     every = F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")
     cell = lambda i, j: F.shiftright(F.greatest(i, j) * (F.greatest(i, j) + 1), 1) + F.least(i, j)
-    dealt = rows.select("id", "v", "block", F.explode(F.transform(every, lambda j: cell(F.col("block"), j).cast("int"))).alias("cell"))
+    dealt = rows.select("id", "v", "block", "asks", F.explode(F.transform(every, lambda j: cell(F.col("block"), j).cast("int"))).alias("cell"))
     found = dealt.repartitionById(n_blocks * (n_blocks + 1) // 2, "cell").drop("cell").mapInArrow(meet, "id string, neighbour string, similarity double")
     # one shuffle by id serves both the sum and the rank
-    found = found.unionByName(copies(vectors, k, dim).drop("rank")).repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    found = found.unionByName(late).repartition("id").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbour", "similarity")
 
 
+def nearest_whole(vectors: DataFrame, k: int = 5, floor: float = 0.8, config: IndexConfig = IndexConfig(), dim: int = 64) -> DataFrame:
+    """``(id, rank, neighbour, similarity)``: the ``k`` most similar ids of each usable id, near or far.
+
+    The index gives those ids their neighbours for which it finds ``k`` at similarity ``floor`` or more;
+    any other id is measured against all vectors in blocks, exactly. The index' rows are used twice, so they
+    are written to the checkpoint folder first.
+    """
+    ensure_checkpoint_dir(vectors.sparkSession)
+    near = nearest(vectors, k, floor, config, dim).checkpoint()
+    done = near.where(F.col("rank") == k).select("id")
+    return near.join(done, "id", "left_semi").unionByName(nearest_of_all(vectors, k, dim, done=done))
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each usable id's neighbours, near or far, those of ids with many copies too."""
-    return nearest_of_all(table(spark, sf_dir, "vectors")).withColumn("similarity", F.round("similarity", 6))
+    return nearest_whole(table(spark, sf_dir, "vectors")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_split_files_give_the_pairs_of_whole_ones():
     refs = np.arange(400)
 
     def pairs(size):
-        index = nb.PermutationIndex(x, 400, nb.IndexConfig(bits=40, list_size=size))
+        index = nb.PermutationIndex(x, 400, nb.IndexConfig(pivots=64, list_size=size))
         columns = index.post(refs, x)
         order = np.argsort(columns[0], kind="stable")
         return {(a, b) for out in index.meet([c[order] for c in columns], 500) for a, b in zip(out[0].tolist(), out[1].tolist())}, index.blocks
@@ -151,3 +151,31 @@ def test_every_usable_id_has_its_neighbours(spark):
     got = nb.p3_neighbours(spark, DATA)
     usable = nb._clean(nb.table(spark, DATA, "vectors"), DIM).select("id").distinct()
     assert got.groupBy("id").count().where("count = 5").count() == usable.count() > 100
+
+
+def test_candidates_are_the_best_by_footrule(spark):
+    """Without a bound each vector's candidates are those of least footrule distance among all it meets."""
+    x = clustered(600, 8)
+    ids = [f"v{i:05}" for i in range(len(x))]
+    df = table(spark, list(zip(ids, x, [False] * len(x))))
+    met = {}
+    for keep in (3, 10**6):
+        config = nb.IndexConfig(footrule=1.0, keep=keep)
+        met[keep] = {(r["a"], r["b"]): r["footrule"] for r in nb.candidates(df, nb.fit(df, config=config)).collect()}
+    sides = {}
+    for (a, b), d in met[10**6].items():
+        sides.setdefault(a, []).append((d, a, b))
+        sides.setdefault(b, []).append((d, a, b))
+    want = {(a, b) for v in sides.values() for d, a, b in v if sum(o < d for o, _, _ in v) < 3}
+    assert set(met[3]) == want and len(want) < len(met[10**6])
+
+
+def test_recall_of_the_whole_lists(spark):
+    """Queries are the vectors whose number is divisible by 50, neighbours near or far."""
+    x = clustered(4000, 9)
+    ids = np.array([f"v{i:05}" for i in range(len(x))])
+    df = table(spark, list(zip(ids.tolist(), x, [False] * len(x)))).repartition(3)
+    got, want = lists(nb.nearest_whole(df)), brute(ids, x, 5, 0)
+    asked = ids[::50]
+    assert all(len(got[i]) == 5 for i in ids)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in asked]) >= 0.98
