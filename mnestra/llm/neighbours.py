@@ -33,7 +33,7 @@ class IndexConfig:
     order. ``order``: pivots kept of a permutation, a multiple of 4. ``reach``: leading positions i < j are posted
     together if i + j is at most this. ``keep``: candidates of each vector, those of least footrule
     distance, that are measured. ``footrule``: share of the largest footrule distance beyond which a pair is not
-    worth ranking; None takes the distance that 999 of 1,000 pairs at the least similarity asked
+    worth ranking; None takes the distance that 95 of 100 pairs at the least similarity asked
     for don't exceed, by the sample. ``list_size``: members of an inverted file beyond which it is split
     into blocks that meet pair by pair in tasks of their own.
     """
@@ -105,7 +105,7 @@ class PermutationIndex:
                 self.blocks[int(key)] = int(-(-size // config.list_size))
 
     def bound(self, sample: np.ndarray, orders: np.ndarray, floor: float, most: int = 4096) -> float:
-        """The footrule distance that 999 of 1,000 pairs of similarity ``floor`` keep, from sample vectors moved that far."""
+        """The footrule distance that 95 of 100 pairs of similarity ``floor`` keep, nearer pairs more often, from sample vectors moved that far."""
         x = sample[:most]
         if floor <= 0.2 or x.shape[1] < 2:  # nothing is farther than opposite vectors
             return self.config.order * (self.config.order + 1)
@@ -114,7 +114,7 @@ class PermutationIndex:
         aside /= np.maximum(np.sqrt((aside * aside).sum(1, keepdims=True)), 1e-12)
         cosine = 1 - (1 / floor - 1) / 2
         moved = self.permute((cosine * x + (1 - cosine * cosine) ** 0.5 * aside).astype("f4"))
-        return float(np.quantile(footrule(orders[: len(x)], moved), 0.999, method="higher"))
+        return float(np.quantile(footrule(orders[: len(x)], moved), 0.95, method="higher"))
 
     def permute(self, x: np.ndarray) -> np.ndarray:
         """The nearest pivots of each row in order; fewer pivots than places leave -1 at the end."""
