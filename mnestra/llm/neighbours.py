@@ -156,7 +156,8 @@ class PermutationIndex:
     def meet(self, columns: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of refs (smaller first) that share an inverted file, with their footrule distance if it is within the bound.
 
-        ``columns`` are postings sorted by key, whole files only; ``most`` pairs are held at a time.
+        A pair is put out by the first of its common files only. ``columns`` are postings sorted by key,
+        whole files only; ``most`` pairs are held at a time.
         """
         key, ref = columns[0], columns[1]
         perms = np.ascontiguousarray(np.stack(columns[2:], 1)).view("<i2")[:, : self.config.order]
@@ -172,11 +173,25 @@ class PermutationIndex:
             other = ref[a] != ref[b]
             a, b = a[other], b[other]
             distance = footrule(perms[a], perms[b])
-            near = distance <= self.limit
+            near = np.flatnonzero(distance <= self.limit)
+            near = near[self._first(key[a[near]], ref[a[near]], ref[b[near]], perms[a[near]], perms[b[near]])]
             a, b = ref[a[near]], ref[b[near]]
             yield np.minimum(a, b), np.maximum(a, b), distance[near]
             start = stop
 
+    def _first(self, key: np.ndarray, ref_a: np.ndarray, ref_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether ``key`` is where a pair is put out: the least common file, of a split one the cell of both blocks."""
+        ka, kb = self.keys(a), self.keys(b)
+        least = np.full(len(key), 1 << 62)
+        for i in range(ka.shape[1]):
+            least = np.where((ka[:, i : i + 1] == kb).any(1), np.minimum(least, ka[:, i]), least)
+        here = least == key >> 32
+        if self.blocks:
+            n = np.array([self.blocks.get(int(k), 1) for k in key >> 32], "u8")
+            same = ref_a.astype("u8") % n == ref_b.astype("u8") % n  # members of one block meet in all its cells
+            here &= ~same | ((key >> 16 & 0xFFFF) == (key & 0xFFFF))
+        return here
+
 
 def _keyed(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(reference_key(F.col("id")).alias("id"), "embedding", "deleted").where("id IS NOT NULL AND NOT coalesce(deleted, false)")
@@ -244,11 +259,11 @@ def candidates(vectors: DataFrame, index: PermutationIndex, k: int = 5) -> DataF
 
     postings = _keyed(vectors).mapInArrow(post, ", ".join(f"{c} long" for c in names))
     pairs = postings.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long, footrule int")
-    pairs = pairs.groupBy("a", "b").agg(F.min("footrule").alias("footrule"))
     sides = F.explode(F.array(F.struct(F.col("a").alias("ref"), F.col("b").alias("other")), F.struct(F.col("b").alias("ref"), F.col("a").alias("other")))).alias("s")
     place = F.rank().over(W.partitionBy("ref").orderBy("footrule"))
     best = pairs.select("footrule", sides).select("s.*", "footrule").withColumn("place", place).where(F.col("place") <= index.config.keep)
-    return best.groupBy(F.least("ref", "other").alias("a"), F.greatest("ref", "other").alias("b")).agg(F.min("footrule").alias("footrule"))
+    both = best.select(F.least("ref", "other").alias("a"), F.greatest("ref", "other").alias("b"), "footrule")
+    return both.repartition("a").groupBy("a", "b").agg(F.min("footrule").alias("footrule"))  # one shuffle for this and the join on a
 
 
 def _clean(vectors: DataFrame, dim: int) -> DataFrame:

@@ -58,7 +58,9 @@ def test_split_files_give_the_pairs_of_whole_ones():
         index = nb.PermutationIndex(x, 400, nb.IndexConfig(pivots=64, list_size=size))
         columns = index.post(refs, x)
         order = np.argsort(columns[0], kind="stable")
-        return {(a, b) for out in index.meet([c[order] for c in columns], 500) for a, b in zip(out[0].tolist(), out[1].tolist())}, index.blocks
+        out = [(a, b) for out in index.meet([c[order] for c in columns], 500) for a, b in zip(out[0].tolist(), out[1].tolist())]
+        assert len(out) == len(set(out))  # a pair is put out once
+        return set(out), index.blocks
 
     whole, none = pairs(10**6)
     split, some = pairs(12)
