@@ -18,6 +18,7 @@ from mnestra.operators import fts, graph, store, vectors
 from mnestra.plans import consolidate, retrieve
 from mnestra.sources.config import Config
 from mnestra.sources.ship import ship_package
+from mnestra.sources.tables import reference_key
 from mnestra.sources.versioned import VersionedTable
 
 
@@ -31,18 +32,26 @@ class ConsolidationReport:
 
 
 class MemoryEngine:
-    """Reads are DataFrames; writes append versions. Rows, vectors and triples are written by the same call."""
+    """Reads are DataFrames; writes append versions. Rows, vectors and triples are written by the same call.
+
+    Ids are compared, and written, without outer blanks and in lower case.
+    """
 
     def __init__(self, spark: SparkSession, config: Config = Config(), provider: providers.Provider | None = None, embedder: Embedder | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None), new_id: Callable[[], str] = lambda: str(uuid.uuid4())):
         self.spark, self.config, self.now, self.new_id = spark, config, now, new_id
         ship_package(spark)
-        self.provider = provider or providers.provider(config.reasoning_provider)
-        self.embedder = embedder or providers.embedder(config.embedding_provider, config.embedding_dim)
+        self.provider = provider or providers.provider(config.reasoning_provider, config.reasoning_model)
+        self.embedder = embedder or providers.embedder(config.embedding_provider, config.embedding_dim, config.embedding_model)
         root = config.project_dir
         self._memories = VersionedTable(spark, f"{root}/memories", schema.MEMORIES, ["id"])
         self._vectors = VersionedTable(spark, f"{root}/vectors", schema.VECTORS, ["id"])
         self._triples = VersionedTable(spark, f"{root}/triples", schema.TRIPLES, ["triple_id"])
 
+    @property
+    def _bare(self) -> bool:
+        """Whether there is no language model."""
+        return isinstance(self.provider, providers.NoProvider)
+
     # -- tables ---------------------------------------------------------------------------
     def memories(self) -> DataFrame:
         return self._memories.read()
@@ -71,13 +80,13 @@ class MemoryEngine:
     def store_batch(self, rows: DataFrame, auto_score: bool = False) -> DataFrame:
         """Store rows with at least ``content``; defaults fill the rest. Returns the stored rows.
 
-        A null id gets a new one; an id that is taken or met before in the batch is an error.
-        ``auto_score`` rates rows without an importance by the provider, on the executors.
+        A null or blank id gets a new one; an id that is taken or met before in the batch is an error.
+        ``auto_score`` rates rows without an importance by the provider, on the executors; without a provider they get the default.
         """
         have, now, provider = set(rows.columns), self.now(), self.provider
         col = lambda n, kind, default=None: (F.col(n) if n in have else F.lit(None)).cast(kind) if default is None else F.coalesce((F.col(n) if n in have else F.lit(None)).cast(kind), default)
         shaped = rows.select(
-            F.coalesce(col("id", "string"), F.uuid()).alias("id"),
+            F.coalesce(reference_key(col("id", "string")), F.uuid()).alias("id"),
             col("content", "string", F.lit("")).alias("content"),
             scalars.clamp(col("importance", "double")).alias("importance"),
             F.coalesce(col("tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
@@ -90,7 +99,7 @@ class MemoryEngine:
             F.lit(False).alias("archived"),
             F.monotonically_increasing_id().alias("insert_seq"),
         )
-        if auto_score:
+        if auto_score and not self._bare:
             shaped = shaped.withColumn("importance", F.coalesce("importance", scalars.parse_score(providers.answers(provider, "score", providers.score_prompt, F.when(F.col("importance").isNull(), F.col("content"))))))
         shaped = shaped.withColumn("importance", F.coalesce("importance", F.lit(schema.DEFAULT_IMPORTANCE)))
         # ids are random: the batch is written before it is judged, so that all later reads agree
@@ -109,14 +118,13 @@ class MemoryEngine:
         return stored
 
     def store(self, content: str, auto_score: bool = False, **fields: object) -> str:
-        """Store one record and return its id."""
+        """Store one record and return its id, as it is kept."""
         id = str(fields.pop("id", None) or self.new_id())
         if fields.get("importance") is not None:
             fields["importance"] = float(fields["importance"])
         names = [f for f in schema.MEMORIES if f.name in fields]
         rows = self.spark.createDataFrame([(id, content, *[fields[f.name] for f in names])], schema.T.StructType([schema.MEMORIES["id"], schema.MEMORIES["content"], *[schema.T.StructField(f.name, f.dataType) for f in names]]))
-        self.store_batch(rows, auto_score)
-        return id
+        return self.store_batch(rows, auto_score).first()["id"]
 
     def get(self, id: str) -> DataFrame:
         return store.get(self.memories(), id)
@@ -124,12 +132,13 @@ class MemoryEngine:
     def update(self, id: str, content: str | None = None, importance: float | None = None, tags: Sequence[str] | None = None) -> None:
         """Change given fields of a visible record, and its vector with its content. An unknown id is an error."""
         old = self.get(id)
-        if old.first() is None:
+        found = old.first()
+        if found is None:
             raise KeyError(id)
-        change = self.spark.createDataFrame([(id, content, float(importance) if importance is not None else None, list(tags) if tags is not None else None, self.now())], "id string, content string, importance double, tags array<string>, at timestamp_ntz")
+        change = self.spark.createDataFrame([(found["id"], content, float(importance) if importance is not None else None, list(tags) if tags is not None else None, self.now())], "id string, content string, importance double, tags array<string>, at timestamp_ntz")
         self._memories.upsert(store.update_records(old, change))
         if content is not None:
-            self._put_vectors([(id, self._vector(content))])
+            self._put_vectors([(found["id"], self._vector(content))])
 
     def _put_vectors(self, rows: list[tuple[str, list[float]]]) -> None:
         for id, v in rows:
@@ -139,7 +148,8 @@ class MemoryEngine:
 
     def forget(self, id: str, mode: str = "delete") -> bool:
         """Delete, archive or decay a record; whether there was one. An unknown mode deletes."""
-        rows = self.memories().where(F.col("id") == id)
+        key = reference_key(F.lit(id))
+        rows = self.memories().where(F.col("id") == key)
         if mode == "archive":
             return self._archive([id]) > 0
         if mode == "decay":
@@ -149,16 +159,20 @@ class MemoryEngine:
             self._memories.upsert(store.forget_by_decay(seen, seen.select("id")))
             return True
         existed = rows.first() is not None
-        ids = self.spark.createDataFrame([(id,)], "id string")
-        vector = self.vectors().where(F.col("id") == id)
+        if not existed:
+            return False
+        ids = rows.select("id")
+        vector = self.vectors().where(F.col("id") == key)
         if vector.first() is not None:
             self._vectors.upsert(vectors.removed(vector, ids))
-        self._triples.delete(self.triples().where(F.col("memory_id") == id))
+        linked = self.triples()
+        kept = graph.without_memories(linked, ids).select("triple_id")
+        self._triples.delete(linked.join(kept, "triple_id", "left_anti"))
         self._memories.delete(ids)
-        return existed
+        return True
 
     def _archive(self, ids: Sequence[str]) -> int:
-        rows = self.memories().where(F.col("id").isin(*ids)) if ids else self.memories().limit(0)
+        rows = self.memories().where(F.col("id").isin(*(reference_key(F.lit(i)) for i in ids))) if ids else self.memories().limit(0)
         n = rows.count()
         if n:
             self._memories.upsert(rows.withColumn("archived", F.lit(True)).withColumn("updated_at", F.lit(self.now()).cast("timestamp_ntz")))
@@ -175,7 +189,7 @@ class MemoryEngine:
         """Insert (subject, predicate, object, memory_id); known ones are ignored, those of unknown memories rejected."""
         old = self.triples()
         base = (old.agg(F.max("triple_id").alias("n")).first()["n"] or 0) + 1
-        new = self.spark.createDataFrame([(base + i, *r, self.now()) for i, r in enumerate(rows)], schema.TRIPLES)
+        new = self.spark.createDataFrame([(base + i, *r, self.now()) for i, r in enumerate(rows)], schema.TRIPLES).withColumn("memory_id", reference_key(F.col("memory_id")))
         good = graph.with_known_memory(new, self.memories())
         kept = graph.unique_triples(old.unionByName(good)).where(F.col("triple_id") >= base)
         self._triples.upsert(kept)
@@ -196,10 +210,10 @@ class MemoryEngine:
         return retrieve.hybrid_search(self.memories(), self.live_vectors(), query, self._vector(query), limit, tags)
 
     def recall(self, query: str, limit: int = schema.RECALL_LIMIT, tags: Sequence[str] = (), since: str | None = None, memory_type: str | None = None) -> DataFrame:
-        """Vector candidates, filtered, then put in order by the provider; in similarity order if it selects none."""
+        """Vector candidates, filtered, then put in order by the provider; in similarity order if it selects none or there is none."""
         candidates = retrieve.recall_candidates(self.memories(), self.live_vectors(), self._vector(query), tags, since, memory_type)
         listed = retrieve.candidate_text(candidates).first()["text"]
-        answer = self.provider.complete("rerank", providers.rerank_prompt(query, listed, limit)) if listed else ""
+        answer = self.provider.complete("rerank", providers.rerank_prompt(query, listed, limit)) if listed and not self._bare else ""
         return retrieve.selected(candidates, self.spark.createDataFrame([("answer", answer)], "response_id string, response string"), limit)
 
     def entity_context(self, entity: str) -> DataFrame:
@@ -250,7 +264,14 @@ class MemoryEngine:
 
         Later facts see what earlier ones wrote; the contradiction check sees the state before all. A
         triple of a fact that became an update is reported, and stored only with ``link_updates``.
+
+        Merging replaces stored text by what is near to it, so it needs a language model and an embedder that tells texts apart; a
+        stand-in for either has to be named, the embedder's by ``stand_ins``, else nothing is touched and an error is raised.
         """
+        if self._bare:
+            raise providers.NoModelError("consolidation needs a language model, and reasoning_provider is none")
+        if not (self.embedder.distinct or self.config.stand_ins):
+            raise providers.NoModelError("the embedder doesn't tell texts apart, so merging by similarity would overwrite what has nothing to do with a fact")
         report = ConsolidationReport(session_id)
         text = consolidate.session_text(self.memories(), session_id).first()["text"]
         if not text:
@@ -275,23 +296,23 @@ class MemoryEngine:
         return report
 
     def _merge(self, facts: list, embedded: list[list[float]], session_id: str) -> tuple[dict, dict, dict]:
-        """The sequential part: a session's facts are few, their stored neighbours come from one plan."""
+        """Each fact in order: into what is stored or was written before it, else as a new row. A session's facts are few."""
         inserts: dict[str, tuple] = {}
         updates: dict[str, tuple] = {}
         links: dict[int, tuple[str, bool]] = {}
         self._overlay: dict[str, list[float]] = {}
         if not facts:
             return inserts, updates, links
-        k = schema.MERGE_CANDIDATES
-        hits = vectors.nearest(self.live_vectors(), [(str(f["pos"]), v) for f, v in zip(facts, embedded)], k + len(facts)).collect()
-        names = sorted({h["id"] for h in hits})
-        shown = {r["id"]: r for r in store.visible(self.memories()).where(F.col("id").isin(*names)).collect()} if names else {}
-        seq = (self.memories().agg(F.max("insert_seq").alias("n")).first()["n"] or 0) + 1
+        memories = self.memories()
+        targets = consolidate.merge_candidates(memories, self.live_vectors(), [(str(f["pos"]), v) for f, v in zip(facts, embedded)], schema.MERGE_CANDIDATES + len(facts)).orderBy("fact", "rank").collect()
+        names = sorted({t["id"] for t in targets})
+        shown = {r["id"]: r for r in store.visible(memories).where(F.col("id").isin(*names)).collect()} if names else {}
+        seq = (memories.agg(F.max("insert_seq").alias("n")).first()["n"] or 0) + 1
         fields = schema.MEMORIES.names
         for f, v in zip(facts, embedded):
-            near = [(h["distance"], h["id"]) for h in hits if h["query"] == str(f["pos"]) and h["id"] not in self._overlay]
-            near += [(round(float(((np.array(x) - np.array(v)) ** 2).sum()), 9), id) for id, x in self._overlay.items()]
-            target = next((id for d, id in sorted(near)[:k] if 1 / (1 + d) > self.config.merge_similarity and (id in shown or id in inserts)), None)
+            stored = [(t["similarity"], t["id"], t["visible"]) for t in targets if t["fact"] == str(f["pos"]) and t["id"] not in self._overlay]
+            written = [(1 / (1 + round(float(((np.array(x) - np.array(v)) ** 2).sum()), 9)), id, True) for id, x in self._overlay.items()]
+            target = consolidate.first_target([*stored, *written], self.config.merge_similarity)
             now = self.now()
             if target is None:
                 id = self.new_id()

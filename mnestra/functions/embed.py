@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
+    """``distinct``: whether texts that say other things lie apart, so that near vectors mean like texts."""
+
     dim: int
+    distinct: bool
 
     def embed_batch(self, texts: Sequence[str]) -> np.ndarray: ...
 
@@ -22,6 +25,8 @@ class Embedder(Protocol):
 class MockEmbedder:
     """(1, 0, ...) for any text, all zero for an empty or null one."""
 
+    distinct = False
+
     def __init__(self, dim: int = 768):
         self.dim = dim
 
@@ -37,6 +42,8 @@ class HashEmbedder:
     Empty and null texts give zeros.
     """
 
+    distinct = False
+
     def __init__(self, dim: int = 768):
         self.dim = dim
         self._wave = np.array([math.sin(0.1 * i) for i in range(dim)], "f4")
@@ -54,6 +61,8 @@ class HashEmbedder:
 class TableEmbedder:
     """Vectors of known texts; any other text has the last unit vector."""
 
+    distinct = True
+
     def __init__(self, known: dict[str, Sequence[float]], dim: int):
         self.known, self.dim = known, dim
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,8 @@ def clean_entity(text: Column) -> Column:
 
 
 def basic_tokens(text: Column) -> Column:
-    """ASCII words and single punctuation signs, lower case; null gives null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{Punct}|[^\s\p{Punct}]+)"), F.lit(0))
+    """Runs without ASCII white space and punctuation, and single punctuation signs; ASCII letters lower, others as they are; null gives null."""
+    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(r"(\p{Punct}|[^\s\p{Punct}]+)"), F.lit(0))
 
 
 def any_tag(tags: Column, wanted: Sequence[str]) -> Column:

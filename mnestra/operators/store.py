@@ -37,7 +37,7 @@ def visible(memories: DataFrame) -> DataFrame:
 
 def get(memories: DataFrame, id: str) -> DataFrame:
     """The visible row of an id, or none."""
-    return visible(memories).where(F.col("id") == id.strip(" ").lower())
+    return visible(memories).where(F.col("id") == reference_key(F.lit(id)))
 
 
 def list_memories(memories: DataFrame, tags: Sequence[str] = (), memory_type: str | None = None, since: str | None = None, limit: int = 100, compat_like: bool = False) -> DataFrame:
@@ -96,13 +96,13 @@ def eligible(memories: DataFrame, least_importance: float | None = None, most_de
 
 def forget_by_decay(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """All rows; of visible ones named in ``ids`` the decay score times 0.1."""
-    named = ids.select(F.col("id").alias("id")).distinct().withColumn("_hit", F.lit(True))
+    named = ids.select(reference_key(F.col("id")).alias("id")).where("id IS NOT NULL").distinct().withColumn("_hit", F.lit(True))
     return memories.join(named, "id", "left").withColumn("decay_score", F.when(F.col("_hit") & ~F.col("archived"), F.col("decay_score") * FORGET_DECAY).otherwise(F.col("decay_score"))).drop("_hit")
 
 
 def insert_records(memories: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(stored, rejected)``: new rows whose id is unknown, and those whose id is taken; of equal new ids the first stays."""
-    new = new.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy("insert_seq")))
+    new = new.withColumn("id", reference_key(F.col("id"))).withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy("insert_seq")))
     taken = memories.select("id").distinct().withColumn("_taken", F.lit(True))
     judged = new.join(taken, "id", "left")
     good = (F.col("_k") == 1) & F.col("_taken").isNull()
@@ -117,6 +117,7 @@ def update_records(memories: DataFrame, changes: DataFrame) -> DataFrame:
     """
     order = W.partitionBy("id").orderBy("at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     fields = ["content", "importance", "tags"]
+    changes = changes.withColumn("id", reference_key(F.col("id"))).where("id IS NOT NULL")
     folded = changes.select("id", *[F.last(c, ignorenulls=True).over(order).alias(f"new_{c}") for c in fields], F.last("at").over(order).alias("new_at")).distinct()
     joined = memories.join(folded, "id", "left")
     hit = F.col("new_at").isNotNull() & ~F.col("archived")

@@ -32,9 +32,30 @@ def contradiction_candidates(memories: DataFrame, live: DataFrame, facts: Sequen
     return rows.select(F.col("query").alias("fact"), F.row_number().over(W.partitionBy("query").orderBy("rank")).alias("ordinal"), "id", "content")
 
 
-def merge_targets(memories: DataFrame, live: DataFrame, facts: Sequence[tuple[str, Sequence[float]]], similarity: float = MERGE_SIMILARITY, k: int = MERGE_CANDIDATES) -> DataFrame:
-    """``(fact, id, similarity)``: each fact's first visible row among its k nearest that is more similar than the bound."""
+def merge_candidates(memories: DataFrame, live: DataFrame, facts: Sequence[tuple[str, Sequence[float]]], k: int = MERGE_CANDIDATES) -> DataFrame:
+    """``(fact, rank, id, similarity, visible)``: each fact's k nearest stored vectors, those of hidden or absent rows marked.
+
+    The hits' side is at most k rows for each of a session's facts.
+    """
     top = vectors.nearest(live, facts, k)
-    rows = visible(memories).select("id").join(F.broadcast(top), "id").where(F.col("similarity") > similarity)
-    first = rows.groupBy("query").agg(F.min(F.struct("rank", "id", "similarity")).alias("m"))
-    return first.select(F.col("query").alias("fact"), "m.id", "m.similarity")
+    seen = visible(memories).select("id", F.lit(True).alias("seen")).join(F.broadcast(top.select("id").distinct()), "id", "left_semi")
+    return top.join(seen, "id", "left").select(F.col("query").alias("fact"), "rank", "id", "similarity", F.coalesce("seen", F.lit(False)).alias("visible"))
+
+
+def first_target(candidates: Sequence[tuple[float, str, bool]], similarity: float = MERGE_SIMILARITY, k: int = MERGE_CANDIDATES) -> str | None:
+    """The rule of a merge for one fact: of the k most similar ``(similarity, id, visible)`` the first that is visible and above the bound; ties go to the smaller id."""
+    nearest = sorted(candidates, key=lambda c: (-c[0], c[1]))[:k]
+    return next((id for s, id, seen in nearest if s > similarity and seen), None)
+
+
+def merge_targets(memories: DataFrame, live: DataFrame, facts: Sequence[tuple[str, Sequence[float]]], similarity: float = MERGE_SIMILARITY, k: int = MERGE_CANDIDATES) -> DataFrame:
+    """``(fact, id, similarity)``: each fact's first visible row among its k nearest that is more similar than the bound: ``first_target`` as a plan."""
+    rows = merge_candidates(memories, live, facts, k).where(F.col("visible") & (F.col("similarity") > similarity))
+    first = rows.groupBy("fact").agg(F.min(F.struct("rank", "id", "similarity")).alias("m"))
+    return first.select("fact", "m.id", "m.similarity")
+
+
+def merge_report(memories: DataFrame, live: DataFrame, facts: Sequence[tuple[str, Sequence[float]]], similarity: float = MERGE_SIMILARITY) -> DataFrame:
+    """One row ``(new_facts, updated_facts)`` of facts that don't touch each other."""
+    named = memories.sparkSession.createDataFrame([(str(n),) for n, _ in facts], "fact string").join(merge_targets(memories, live, facts, similarity), "fact", "left")
+    return named.agg(F.count_if(F.col("id").isNull()).alias("new_facts"), F.count_if(F.col("id").isNotNull()).alias("updated_facts"))

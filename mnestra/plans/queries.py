@@ -122,7 +122,7 @@ def mem_decay_apply(spark, d):
 @query(f"WITH {M_SQL} SELECT id, round(CASE WHEN insert_seq % 7 = 0 AND NOT archived THEN decay_score * 0.1::DOUBLE ELSE decay_score END, 9) AS decay_score FROM m")
 def mem_forget_decay(spark, d):
     rows = m(spark, d)
-    return store.forget_by_decay(rows, rows.where("insert_seq % 7 = 0")).select("id", F.round("decay_score", 6).alias("decay_score"))
+    return store.forget_by_decay(rows, rows.where("insert_seq % 7 = 0")).select("id", F.round("decay_score", 9).alias("decay_score"))
 
 
 @query(f"WITH {M_SQL} SELECT id, array_to_string(tags, ',') AS tags FROM m WHERE NOT archived AND (list_contains(tags, 'cache') OR list_contains(tags, 'rust'))")
@@ -474,7 +474,7 @@ def entity_clean(spark, d):
     return rows.select("subject", scalars.clean_entity(F.concat(F.lit(' "'), "subject", F.lit('" '))).alias("clean"))
 
 
-@query(f"WITH {M_SQL}, x AS (SELECT unnest(regexp_extract_all(lower(content), '([[:punct:]]|[^\\s[:punct:]]+)')) AS token FROM m) SELECT token, count(*) AS n FROM x GROUP BY token")
+@query(f"WITH {M_SQL}, x AS (SELECT unnest(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([[:punct:]]|[^\\s[:punct:]]+)')) AS token FROM m) SELECT token, count(*) AS n FROM x GROUP BY token")
 def basic_tokens(spark, d):
     return m(spark, d).select(F.explode(scalars.basic_tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
@@ -561,10 +561,7 @@ def fts_search_phrase(spark, d):
 
 @query(f"{_near_sql((1, 2, 5, 8))}, f AS (SELECT query, count(*) FILTER (NOT archived AND 1 / (1 + distance) > 0.3) AS n FROM r LEFT JOIN m ON m.id = r.id WHERE rank <= 3 GROUP BY query) SELECT count(*) FILTER (n = 0) AS new_facts, count(*) FILTER (n > 0) AS updated_facts FROM f")
 def consolidation_counts(spark, d):
-    facts = q(spark, d, 1, 2, 5, 8)
-    merged = consolidate.merge_targets(m(spark, d), v(spark, d), facts, 0.3)
-    named = spark.createDataFrame([(n,) for n, _ in [(str(n), 0) for n, _ in facts]], "fact string").join(merged, "fact", "left")
-    return named.agg(F.count_if(F.col("id").isNull()).alias("new_facts"), F.count_if(F.col("id").isNotNull()).alias("updated_facts"))
+    return consolidate.merge_report(m(spark, d), v(spark, d), q(spark, d, 1, 2, 5, 8), 0.3)
 
 
 # -- references -----------------------------------------------------------------------------

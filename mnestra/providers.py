@@ -1,4 +1,8 @@
-"""Language models as an interface, with a deterministic offline default."""
+"""Language models and embedders by name: HTTP services, stand-ins that need no network, and what a caller registers.
+
+A name that isn't registered is an error. Without a language model (``none``, the default) what needs one is
+refused and what can do without falls back; a stand-in answers only where it is named.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnestra.functions.embed import Embedder, HashEmbedder, MockEmbedder
+from mnestra.sources import http_models
 
 TASKS = ("extract", "contradict", "resolve", "rerank", "score")
 
@@ -53,17 +58,52 @@ class CannedProvider:
         return self.answers(task, prompt) if callable(self.answers) else self.answers.get(task, "")
 
 
-PROVIDERS: dict[str, Callable[[], Provider]] = {"mock": MockProvider}
-EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"mock": MockEmbedder, "local": HashEmbedder}
+class UnknownModelError(LookupError):
+    """A name under which nothing is registered."""
+
+
+class NoModelError(RuntimeError):
+    """A language model is needed and none is set."""
+
+
+class NoProvider:
+    """No language model: asking it is an error."""
+
+    name = "none"
+
+    def complete(self, task: str, prompt: str) -> str:
+        raise NoModelError(f"{task} needs a language model, and reasoning_provider is none")
+
+
+def _http(service: str) -> Callable[..., Provider]:
+    return lambda model="", **more: http_models.HttpProvider(service, model, **more)
+
+
+#: Makers by name; a provider's takes the model's name, an embedder's the dimension and the model's name.
+PROVIDERS: dict[str, Callable[..., Provider]] = {"none": lambda model="": NoProvider(), "mock": lambda model="": MockProvider(), **{service: _http(service) for service in http_models.SERVICES}}
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {"mock": lambda dim, model="": MockEmbedder(dim), "local": lambda dim, model="": HashEmbedder(dim), "openai": lambda dim, model="": http_models.HttpEmbedder("openai", model, dim)}
+
+
+def register_provider(name: str, make: Callable[..., Provider]) -> None:
+    PROVIDERS[name.lower()] = make
+
+
+def register_embedder(name: str, make: Callable[..., Embedder]) -> None:
+    EMBEDDERS[name.lower()] = make
+
+
+def _made(kind: str, makers: dict, name: str, *args: object) -> object:
+    if name.lower() not in makers:
+        raise UnknownModelError(f"no {kind} {name!r}; there are {', '.join(sorted(makers))}")
+    return makers[name.lower()](*args)
 
 
-def provider(name: str = "mock") -> Provider:
-    """A registered provider; an unknown name is the offline one."""
-    return PROVIDERS.get(name.lower(), MockProvider)()
+def provider(name: str = "none", model: str = "") -> Provider:
+    return _made("provider", PROVIDERS, name, model)
 
 
-def embedder(name: str = "mock", dim: int = 768) -> Embedder:
-    return EMBEDDERS.get(name.lower(), MockEmbedder)(dim)
+def embedder(name: str = "local", dim: int = 768, model: str = "") -> Embedder:
+    return _made("embedder", EMBEDDERS, name, dim, model)
 
 
 def answers(provider: Provider, task: str, prompt: Callable[[str], str], text: Column) -> Column:

@@ -10,16 +10,22 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Config:
-    """What an engine needs to know. Unknown settings in a file are ignored."""
+    """What an engine needs to know. Unknown settings in a file are ignored.
+
+    ``data_dir`` is a folder all executors reach; the default is for one machine. ``stand_ins`` lets consolidation run with an embedder that doesn't
+    tell texts apart (mock, local): it merges by similarity, so only tests want that.
+    """
 
     project: str = "default"
     data_dir: str = "~/.mnestra"
-    reasoning_provider: str = "mock"
-    reasoning_model: str = "mock"
-    embedding_provider: str = "mock"
+    reasoning_provider: str = "none"
+    reasoning_model: str = ""
+    embedding_provider: str = "local"
+    embedding_model: str = ""
     embedding_dim: int = 768
     merge_similarity: float = 0.92
     link_updates: bool = False
+    stand_ins: bool = False
 
     @property
     def project_dir(self) -> str:

@@ -1,4 +1,4 @@
-"""Readers for the parquet tables a data directory holds, and the working folder for long plans."""
+"""Readers for the parquet tables a data directory holds, and the shared folder for what is written between steps."""
 
 from __future__ import annotations
 
@@ -14,10 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, or its checkpoint folder. Without either one is set in local mode only; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
+    return os.path.join(tempfile.gettempdir(), "mnestra-checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the session names in ``spark.checkpoint.dir``; set one only where none is named."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "mnestra-checkpoints"))
+    """See that ``checkpoint`` has a folder: the session's own, else ``shared_folder``."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def trimmed(col: Column) -> Column:

@@ -90,7 +90,7 @@ def test_consolidation(engine):
 
 
 def test_procedure_chain(engine):
-    e = engine({"First, preheat the oven": [1, 0, 0, 0], "Then, mix the batter": [0, 1, 0, 0]})
+    e = engine({"First, preheat the oven": [1, 0, 0, 0], "Then, mix the batter": [0, 1, 0, 0]}, providers.MockProvider())
     e.store("To bake a cake", source_session="s")
     assert e.consolidate("s").new_facts == 2
     from mnestra.operators.graph import chain
@@ -99,7 +99,7 @@ def test_procedure_chain(engine):
 
 
 def test_tools_and_command_line(engine, spark, tmp_path, capsys):
-    e = engine()
+    e = engine(provider=providers.MockProvider())
     id = e.call_tool("mem_store", {"content": "x", "tags": ["a", 3], "importance": "high"})["id"]
     assert e.get(id).first()["importance"] == 5.0
     assert [r["id"] for r in e.call_tool("mem_search", {"query": "x", "limit": "no"})] == [id]
@@ -123,3 +123,38 @@ def test_config_and_times(tmp_path):
     assert lenient_time("2024-01-01T02:00:00+02:00") == "2024-01-01 00:00:00"
     assert lenient_time("soon") is None and lenient_time(None) is None
     assert datetime.fromisoformat(lenient_time("2024-01-01")) == datetime(2024, 1, 1)
+
+
+def test_stored_text_survives_consolidation_without_fit_models(spark, tmp_path):
+    """Default, stand-in and unknown models: nothing is overwritten, and the caller is told."""
+    wrong = [("none", "local", providers.NoModelError), ("mock", "local", providers.NoModelError), ("mock", "mock", providers.NoModelError)]
+    for n, (reasoning, embedding, error) in enumerate(wrong):
+        e = MemoryEngine(spark, Config(project=str(n), data_dir=str(tmp_path), embedding_dim=8, reasoning_provider=reasoning, embedding_provider=embedding))
+        id = e.store("the user's own words", source_session="s1")
+        with pytest.raises(error):
+            e.consolidate("s1")
+        assert [r["content"] for r in e.memories().collect()] == ["the user's own words"] and e.get(id).count() == 1
+    for settings in ({"reasoning_provider": "opnai"}, {"embedding_provider": "opnai"}):
+        with pytest.raises(providers.UnknownModelError):
+            MemoryEngine(spark, Config(data_dir=str(tmp_path), **settings))
+    providers.register_provider("Own", lambda model: providers.CannedProvider({"extract": f"FACT | fact | 3 | | by {model}"}))
+    e = MemoryEngine(spark, Config(project="own", data_dir=str(tmp_path), embedding_dim=8, reasoning_provider="own", reasoning_model="m", stand_ins=True))
+    e.store("to read", source_session="s1")
+    report = e.consolidate("s1")
+    assert report.new_facts + report.updated_facts == 1 and e.search_text("m").count() == 1
+
+
+def test_ids_without_regard_to_case_and_outer_blanks(engine):
+    known = {"one": [1, 0, 0, 0], "two": [0, 1, 0, 0]}
+    e = engine(known)
+    assert e.store("one", id="Note-A ") == "note-a"
+    with pytest.raises(ValueError):
+        e.store("again", id="note-a")
+    assert e.get(" NOTE-A").first()["content"] == "one"
+    assert [r["id"] for r in e.recall("one").collect()] == ["note-a"] == [r["id"] for r in e.search("one").collect()]
+    e.update("Note-A", content="two", importance=7)
+    assert (e.get("note-a").first()["importance"], [r["id"] for r in e.recall("two").collect()]) == (7.0, ["note-a"])
+    e.add_triples([("a", "b", "c", " NOTE-a"), ("a", "b", "d", "Note-B")])
+    assert [r["memory_id"] for r in e.triples().collect()] == ["note-a"]
+    assert e.forget("NOTE-A", "decay") and e.forget(" note-A ") and not e.forget("note-a")
+    assert e.triples().count() == 0 == e.memories().count()
