@@ -28,8 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_containers": pack.p7_containers,
         "p8_found": quality.p8_found,
         "p8_statistics": quality.p8_statistics,
+        "p8_counts": quality.p8_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return terms.SQL | pairs.SQL
+    return terms.SQL | pairs.SQL | quality.SQL

@@ -2,6 +2,8 @@ import os
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from mnestra.llm import quality as qa
 
@@ -40,12 +42,27 @@ def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(qa, "LONG", 500)
     parts = qa.text_statistics([text, "x"], COMMON)
     for k in whole:
-        if k not in ("stopped_lines", "bullet_lines", "entry_tokens", "row_tokens"):  # a line in pieces may look otherwise
-            assert whole[k].tolist() == parts[k].tolist(), k
+        assert whole[k].tolist() == parts[k].tolist(), k
     monkeypatch.setattr(qa, "LONG", 50)
     assert qa.text_statistics(["x" * 500], COMMON)["letters"][0] == 500
 
 
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(text=st.lists(st.sampled_from(["word", "the", " ", "   ", "\n", "\r\n", "\u2028", "12.", "-", "a,b,c", "End.", "...", "…", "#", "ex.", "é", "\t", "x" * 70, "|"]), max_size=120).map("".join), long=st.integers(1, 60))
+def test_parts_are_the_whole(monkeypatch, text, long):
+    monkeypatch.setattr(qa, "LONG", 10**9)
+    whole = qa.text_statistics([text, PROSE], COMMON)
+    monkeypatch.setattr(qa, "LONG", long)
+    parts = qa.text_statistics([text, PROSE], COMMON)
+    assert {k: v.tolist() for k, v in whole.items()} == {k: v.tolist() for k, v in parts.items()}
+
+
+def test_one_token_or_line_longer_than_a_part():
+    token = "ab9" * 700_000
+    x = qa.text_statistics([token, "- " + "the pin, " * 200_000], COMMON)
+    assert x["tokens"].tolist() == [1, 400_001] and x["dark"][0] == len(token) and x["bullet_lines"].tolist() == [0, 1] and x["lines"].tolist() == [1, 1]
+
+
 def test_kinds():
     assert kinds(PROSE, PROSE.upper(), "1. A device which is held in the housing, wherein the pin opens.\n2. The device of claim 1, wherein the spring is bent.") == ["prose"] * 3
     assert kinds("11 pin\n13 first spring\n15 tube\n16 valve", "pin (1); tube (2); valve (3); first spring (4); cap (7)", "* not for the pin;\n* of the tube\n* in that valve", "F65L 9/17\nG09M 96/48\nC93B 79/47") == ["list"] * 4
@@ -66,7 +83,24 @@ def test_counters_of_long_lists_are_no_sentences():
 def test_reasons_are_recorded():
     counts = qa.text_statistics(["page page page page page page", PROSE], COMMON)
     assert qa.judge(counts)[1].tolist() == ["repeats a few tokens", "sentences"]
-    assert "repeats a few tokens" in qa.failures(counts)[0] and qa.failures(counts)[1] == []
+    few = "Gopher: fewer than 50 words"
+    assert few in qa.failures(counts)[0] and qa.failures(counts)[1] == [few]
+    texts = {
+        "Gopher: mean word length under 3": "a b c d e f g h i j k l m n o p",
+        "Gopher: mean word length over 10": "abcdefghijklm nopqrstuvwxyz",
+        "Gopher: more than 0.1 symbols a word": "pin # tube ... valve … cap",
+        "Gopher: more than 0.9 of lines begin with a bullet": "- a pin\n- a tube",
+        "Gopher: more than 0.3 of lines end in an ellipsis": "and then...\nthe pin\nthe tube…",
+        "Gopher: under 0.8 of words have a letter": "1 2 3 pin",
+        "Gopher: fewer than 2 stop words": "pin tube",
+        "Gopher: the most frequent pair of words holds more than 0.2 of the characters": "the pin and the pin of the pin in the pin to the pin",
+        "FineWeb: at most 0.12 of lines end in punctuation": "a pin\nthe tube",
+        "FineWeb: 0.67 or more of lines have at most 30 characters": "a pin\nthe tube\nof",
+        "FineWeb: more than 0.3 line breaks a word": "a\nb\nc\nd",
+    }
+    for why, text in texts.items():
+        assert why in qa.failures(qa.text_statistics([text], COMMON))[0], why
+    assert qa.failures(qa.text_statistics([(PROSE + "\n") * 3, None, " "], COMMON)) == [[], [], []]
 
 
 def test_columns(spark):
