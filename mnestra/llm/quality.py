@@ -366,11 +366,11 @@ def quality_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "
                 failed = failures(counts)
                 kind, reason = judge(counts, failed)
                 ratios = [np.round(counts[a] / np.maximum(counts[b], 1), 6) for a, b in _RATIOS.values()]
-                columns = [pa.array(counts["tokens"].astype("i8")), pa.array(counts["lines"].astype("i8")), *map(pa.array, ratios), pa.array(counts["sentences"].astype("i8")), pa.array(counts["distinct"].astype("i8")), pa.array(kind, pa.string()), pa.array(reason, pa.string()), pa.array(failed, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *columns], names=[id_col, "word_count", "line_count", *_RATIOS, "sentence_count", "distinct_words", "kind", "reason", "failed"])
+                columns = [pa.array(counts["tokens"].astype("i8")), pa.array(counts["lines"].astype("i8")), pa.array(counts["dark"].astype("i8")), *map(pa.array, ratios), pa.array(counts["sentences"].astype("i8")), pa.array(counts["distinct"].astype("i8")), pa.array(kind, pa.string()), pa.array(reason, pa.string()), pa.array(failed, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *columns], names=[id_col, "word_count", "line_count", "word_chars", *_RATIOS, "sentence_count", "distinct_words", "kind", "reason", "failed"])
 
     shape = ", ".join(f"{c} double" for c in _RATIOS)
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind_of_id}, word_count long, line_count long, {shape}, sentence_count long, distinct_words long, kind string, reason string, failed array<string>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind_of_id}, word_count long, line_count long, word_chars long, {shape}, sentence_count long, distinct_words long, kind string, reason string, failed array<string>")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,13 +383,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, lines and mean word length of each document: what SQL can count as well."""
-    return p8_statistics(spark, sf_dir).select("doc_id", "word_count", "line_count", "mean_word_length")
+    """Words, lines and characters of words of each document: what SQL can count as well."""
+    return p8_statistics(spark, sf_dir).select("doc_id", "word_count", "line_count", "word_chars")
 
 
 _WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _COUNTS_SQL = rf"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^{_WHITE}]+')) AS word_count,
   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x0a-\x0d\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^{_WHITE}]'))) AS line_count,
-  round(length(regexp_replace(coalesce(text, ''), '[{_WHITE}]', '', 'g')) / greatest(word_count, 1)::DOUBLE, 6) AS mean_word_length FROM documents"""
+  length(regexp_replace(coalesce(text, ''), '[{_WHITE}]', '', 'g')) AS word_chars FROM documents"""
 
 SQL = {"p8_counts": _COUNTS_SQL}
