@@ -314,10 +314,15 @@ def _numbers(text: str, labelled: bool = True) -> Iterator[Span]:
             value = m.group() if pattern is DNI else regex.sub(r"\D", "", m.group())
             if valid(value):
                 yield Span(*m.span(), "id_number", 0.8, why)
+    wrong: list[tuple[int, int]] = []  # what has an IBAN's shape and fails holds no phone either
     for m in IBAN.finditer(text):
         if mod97(m.group().replace(" ", "")):
             yield Span(*m.span(), "id_number", 0.95, "mod 97")
+        elif len(m.group().replace(" ", "")) >= 18:
+            wrong.append(m.span())
     for m in PHONE.finditer(text):
+        if any(a <= m.start() < b for a, b in wrong):
+            continue
         before = text[max(0, m.start() - 24) : m.start()]
         score = (0.9 if m["intl"] else 0.7 if m["nanp"] or m["trunk"] else 0.2) + 0.35 * bool(_PHONE_BEFORE.search(before)) - 0.6 * bool(_NOT_PHONE_BEFORE.search(before))
         yield Span(*m.span(), "phone", score, "number form")
