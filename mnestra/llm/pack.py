@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +77,8 @@ def pack(sized: DataFrame, id_col: str, size_col: str, capacity: Capacity = Capa
     size 0 or null need no tokens but count as documents. Equal rows count once; a null id is an
     item as any other. An empty table gives none. ``(shard, container)`` names a container.
 
-    One shuffle, of ids and sizes only, by hash of the id; a shard's task holds its own sizes and
+    One shuffle, of ids and sizes only, by hash of the id into exactly as many partitions as there are shards, which
+    adaptive execution doesn't merge; a shard's task holds its own sizes and
     its open containers. ``n_items`` (counted if not given) sets the number of shards.
     """
     n_items = sized.count() if n_items is None else n_items
@@ -84,28 +86,58 @@ def pack(sized: DataFrame, id_col: str, size_col: str, capacity: Capacity = Capa
     items = sized.select(F.col(id_col), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")).withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
     kind = items.schema[id_col].dataType.simpleString()
 
-    def run(shard: pa.Table) -> pa.Table:
-        shard = shard.group_by([id_col, "size", "shard"]).aggregate([]).sort_by([("size", "descending"), (id_col, "ascending")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        shard = pa.Table.from_batches(held).group_by([id_col, "size", "shard"]).aggregate([]).sort_by([("size", "descending"), (id_col, "ascending")])
         size = shard["size"].to_numpy()
         pieces = np.maximum(1, -(-size // capacity.tokens))
         row = np.repeat(np.arange(len(size)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(capacity.tokens, size[row] - piece * capacity.tokens)
         columns = [shard["shard"].take(row), pa.array(best_fit(length, capacity, rule=rule)), shard[id_col].take(row), pa.array(piece.astype("i4")), pa.array(pieces[row].astype("i4")), pa.array(length)]
-        return pa.Table.from_arrays(columns, names=["shard", "container", id_col, "piece", "n_pieces", "size"])
+        yield from pa.Table.from_arrays(columns, names=["shard", "container", id_col, "piece", "n_pieces", "size"]).to_batches(65_536)
 
-    return items.groupBy("shard").applyInArrow(run, f"shard int, container long, `{id_col}` {kind}, piece int, n_pieces int, size long")
+    return items.repartitionById(shards, "shard").mapInArrow(run, f"shard int, container long, `{id_col}` {kind}, piece int, n_pieces int, size long")
 
 
-def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def containers(packed: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
+    """``(shard, container, n_pieces, n_tokens, attention, unused)``: what each container holds and the tokens left over."""
+    cost = F.sum(F.col("size").cast("double") * F.col("size"))
+    return packed.groupBy("shard", "container").agg(F.count("*").alias("n_pieces"), F.sum("size").alias("n_tokens"), cost.alias("attention"), (F.lit(capacity.tokens) - F.sum("size")).alias("unused"))
+
+
+def packed_documents(spark: SparkSession, sf_dir: str, capacity: Capacity = Capacity()) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pack(token_counts(docs), "doc_id", "n_tokens", n_items=docs.count())
+    return pack(token_counts(docs), "doc_id", "n_tokens", capacity, n_items=docs.count())
+
+
+#: Capacities that all bind: 16 documents, and half of the attention a single full document costs.
+BOUNDED = Capacity(4096, 16, 4096.0**2 / 2)
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each container with what it holds and the space left over."""
-    tokens = Capacity().tokens
-    return packed_documents(spark, sf_dir).groupBy("shard", "container").agg(F.count("*").alias("n_pieces"), F.sum("size").alias("n_tokens"), (F.lit(tokens) - F.sum("size")).alias("unused"))
+    return containers(packed_documents(spark, sf_dir)).drop("attention")
+
+
+def p7_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers under capacities of which each binds; a piece above the attention capacity stands alone."""
+    return containers(packed_documents(spark, sf_dir, BOUNDED), BOUNDED)
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents packed, and how often a rule of packing is broken, under the capacities of ``p7_bounded``."""
+    packed = packed_documents(spark, sf_dir, BOUNDED)
+    by_container = containers(packed, BOUNDED).agg(
+        F.count_if(F.col("n_tokens") > BOUNDED.tokens).alias("over_tokens"), F.count_if(F.col("n_pieces") > BOUNDED.documents).alias("over_documents"), F.count_if((F.col("attention") > BOUNDED.attention) & (F.col("n_pieces") > 1)).alias("over_attention")
+    )
+    by_document = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_pieces").alias("said"), F.sum("size").alias("size")).agg(
+        F.count("*").alias("n_documents"), F.count_if(F.col("n") != F.col("said")).alias("wrong_pieces"), F.count_if((F.col("n") > 1) & (F.col("size") <= BOUNDED.tokens)).alias("cut_needlessly")
+    )
+    both = by_document.unionByName(by_container, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])  # two rows made one
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,3 +147,6 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that packing had to cut."""
     return packed_documents(spark, sf_dir).where("n_pieces > 1 AND piece = 0").select("doc_id").distinct()
+
+
+SQL = {"p7_audit": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS wrong_pieces, 0::BIGINT AS cut_needlessly, 0::BIGINT AS over_tokens, 0::BIGINT AS over_documents, 0::BIGINT AS over_attention FROM documents"}

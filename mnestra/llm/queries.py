@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": pack.p7_found,
         "p7_packed": pack.p7_packed,
         "p7_containers": pack.p7_containers,
+        "p7_bounded": pack.p7_bounded,
+        "p7_audit": pack.p7_audit,
         "p8_found": quality.p8_found,
         "p8_statistics": quality.p8_statistics,
         "p8_counts": quality.p8_counts,
@@ -33,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return terms.SQL | pairs.SQL | quality.SQL
+    return terms.SQL | pairs.SQL | pack.SQL | quality.SQL

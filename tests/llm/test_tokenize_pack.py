@@ -119,3 +119,19 @@ def test_pack(spark):
         load[r["shard"], r["container"]] = load.get((r["shard"], r["container"]), 0) + r["size"]
     assert max(load.values()) <= 4096
     assert pack.pack(df.limit(0), "doc_id", "n").count() == 0
+
+
+def test_every_bound_holds_and_binds(spark):
+    """Rows of the registered query's capacities: none is broken, and each decides somewhere."""
+    cap = pack.BOUNDED
+    rng = np.random.default_rng(2)
+    sizes = np.concatenate([rng.integers(0, 60, 900), rng.integers(60, 3000, 900), rng.integers(2900, 9000, 60)]).tolist()
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n long").repartition(3)
+    packed = pack.pack(df, "doc_id", "n", cap, n_items=len(sizes), shard_items=500)
+    got = pack.containers(packed, cap).collect()
+    assert packed.rdd.getNumPartitions() == 4 and {r["shard"] for r in got} == {0, 1, 2, 3}
+    assert sum(r["n_tokens"] for r in got) == sum(sizes) and all(r["unused"] == cap.tokens - r["n_tokens"] >= 0 for r in got)
+    assert all(r["n_pieces"] <= cap.documents and (r["attention"] <= cap.attention or r["n_pieces"] == 1) for r in got)
+    assert any(r["n_pieces"] == cap.documents and r["unused"] > 60 for r in got)  # documents bind
+    assert any(r["attention"] > 0.9 * cap.attention and r["unused"] > 500 for r in got)  # attention binds
+    assert any(r["unused"] < 5 for r in got)  # tokens bind
