@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": terms.p1_found,
         "p1_terms": terms.p1_terms,
         "p1_bitmaps": terms.p1_bitmaps,
+        "p1_members": terms.p1_members,
         "p2_found": pairs.p2_found,
         "p2_pairs": pairs.p2_pairs,
         "p2_all_pairs": pairs.p2_all_pairs,

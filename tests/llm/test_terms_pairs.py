@@ -27,10 +27,34 @@ def test_records(spark):
 
 def test_term_frequencies(spark):
     df = memories(spark, ROWS)
-    got = {r["tag"]: r[1:] for r in terms.term_frequencies(records.records(df), records.record_count(df)).collect()}
+    got = {r["tag"]: r[1:] for r in terms.term_frequencies(terms.term_bitmaps(records.numbered_records(df)), records.record_count(df)).collect()}
     assert got == {"x": (5, 4, "common"), "y": (2, 2, "rare")}
     empty = memories(spark, [])
-    assert terms.term_frequencies(records.records(empty), records.record_count(empty)).count() == 0
+    assert terms.term_frequencies(terms.term_bitmaps(records.numbered_records(empty)), records.record_count(empty)).count() == 0
+
+
+def test_numbers_are_the_records_own(spark):
+    """Whatever the order and the partitions of the rows, a record has the same number, and no other record has it."""
+    rows = [(f"r{i % 500:03}", i, [f"t{i % 9}"]) for i in range(1200)]
+    one = records.numbered_records(memories(spark, rows), bucket_records=64)
+    two = records.numbered_records(memories(spark, rows[::-1]).repartition(7), bucket_records=64)
+    numbers = lambda df: {r["record"]: (r["number"], tuple(r["terms"])) for r in df.collect()}
+    assert numbers(one) == numbers(two) and len({n for n, _ in numbers(one).values()}) == 500
+    assert len({n >> terms.RUN_BITS for n, _ in numbers(one).values()}) > 4  # several chunks
+    got = {tuple(r) for r in terms.members(terms.term_bitmaps(one), two).collect()}
+    assert got == {(t, r) for r, (_, ts) in numbers(one).items() for t in ts}
+
+
+def test_chunks_in_any_order_are_merged_by_union(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(n), [f"t{n % 5}", "all", "all", None]) for n in rng.permutation(np.r_[0:3000, 65_536:67_000, 1 << 30 : (1 << 30) + 500])] + [(None, ["all"]), (5, None)]
+    df = spark.createDataFrame(rows, "number long, terms array<string>").repartition(5)
+    parts = terms.term_bitmaps(df, most_held=2)
+    whole = {(r["term"], r["chunk"]): (terms.unpack_container(r["container"]).tolist(), r["n_occurrences"]) for r in terms.merge_bitmaps(parts).collect()}
+    assert parts.count() > len(whole) == 18
+    for (term, chunk), (low, n) in whole.items():
+        want = sorted(k & 0xFFFF for k, t in rows if k is not None and t and term in t and k >> 16 == chunk)
+        assert low == want and n == len(want) * (2 if term == "all" else 1)
 
 
 @settings(max_examples=60, deadline=None)
@@ -51,7 +75,7 @@ def test_container_forms():
 
 def test_bitmaps_over_several_chunks_and_merge(spark):
     n = 150_000
-    df = spark.range(n).select(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 7), F.concat(F.lit("t"), F.col("id") % 7)).alias("terms")).coalesce(1)
+    df = spark.range(n).select(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 7), F.concat(F.lit("t"), F.col("id") % 7)).alias("terms"), F.col("id").alias("number")).coalesce(1)
     maps = terms.term_bitmaps(df)
     by = {r["term"]: (r["n"], r["o"], r["c"]) for r in maps.groupBy("term").agg(F.sum("cardinality").alias("n"), F.sum("n_occurrences").alias("o"), F.count("*").alias("c")).collect()}
     assert by["all"] == (n, n, 3) and by["t0"] == ((n + 6) // 7, 2 * ((n + 6) // 7), 3)
