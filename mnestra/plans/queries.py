@@ -565,7 +565,7 @@ def consolidation_counts(spark, d):
 
 
 # -- references -----------------------------------------------------------------------------
-for _name, _query in (("p5_found", references.p5_found), ("p5_counts", references.p5_counts)):
+for _name, _query in (("p5_found", references.p5_found), ("p5_counts", references.p5_counts), ("p5_validity", references.p5_validity)):
     _QUERIES[_name], _SQL[_name] = _query, references.SQL[_name]
 
 
