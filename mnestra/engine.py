@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from mnestra import providers, schema
 from mnestra.functions import scalars
 from mnestra.functions.embed import Embedder, embed
-from mnestra.operators import fts, graph, store, vectors
+from mnestra.operators import graph, store, vectors
+from mnestra.operators.textindex import TextIndex
 from mnestra.plans import consolidate, retrieve
 from mnestra.sources.config import Config
 from mnestra.sources.ship import ship_package
@@ -46,6 +47,7 @@ class MemoryEngine:
         self._memories = VersionedTable(spark, f"{root}/memories", schema.MEMORIES, ["id"])
         self._vectors = VersionedTable(spark, f"{root}/vectors", schema.VECTORS, ["id"])
         self._triples = VersionedTable(spark, f"{root}/triples", schema.TRIPLES, ["triple_id"])
+        self._text = TextIndex(spark, f"{root}/text")
 
     @property
     def _bare(self) -> bool:
@@ -70,8 +72,16 @@ class MemoryEngine:
         return self.vectors().count()
 
     def compact(self) -> None:
-        for t in (self._memories, self._vectors, self._triples):
+        for t in (self._vectors, self._triples):
             t.compact()
+        self._text.compact(self.memories(), self._memories.compact())
+
+    def text_index(self) -> TextIndex:
+        """The text index, brought up to the newest version of the rows: only what was written since is read."""
+        changed, removed, version = self._memories.changes(known := self._text.source)
+        if version > known:
+            self._text.refresh(changed, removed, version)
+        return self._text
 
     def _vector(self, text: str) -> list[float]:
         return [float(x) for x in self.embedder.embed_batch([text])[0]]
@@ -204,10 +214,10 @@ class MemoryEngine:
         return {"total_memories": row["total_memories"], "avg_importance": row["avg_importance"], "by_type": row["by_type"], "db_size_bytes": row["db_size_bytes"]}
 
     def search_text(self, query: str, limit: int = schema.SEARCH_LIMIT) -> DataFrame:
-        return fts.search(self.memories(), query, limit)
+        return self.text_index().search(query, limit)
 
     def search(self, query: str, limit: int = schema.SEARCH_LIMIT, tags: Sequence[str] = ()) -> DataFrame:
-        return retrieve.hybrid_search(self.memories(), self.live_vectors(), query, self._vector(query), limit, tags)
+        return retrieve.hybrid_search(self.memories(), self.live_vectors(), query, self._vector(query), limit, tags, self.text_index())
 
     def recall(self, query: str, limit: int = schema.RECALL_LIMIT, tags: Sequence[str] = (), since: str | None = None, memory_type: str | None = None) -> DataFrame:
         """Vector candidates, filtered, then put in order by the provider; in similarity order if it selects none or there is none."""

@@ -1,8 +1,7 @@
-"""Full-text search: tokenizer, inverted index, BM25, and the query language.
+"""Full-text search: tokenizer, BM25, and the query language, over the texts themselves or over a stored index.
 
-A query looks at each document once: its terms' counts are computed beside its length, corpus
-statistics come from one aggregation over the same rows, and a top-k keeps the best. No posting
-is shuffled. ``postings`` gives the index itself where it is to be kept.
+``search`` looks at each document; ``textindex.TextIndex`` keeps postings and reads those of a query's
+words only. Both rank by ``best``.
 """
 
 from __future__ import annotations
@@ -101,20 +100,22 @@ class Phrase:
         return content if self.column == "content" else tags if self.column == "tags" else content + tags
 
 
-def near_counts(terms: list[str], phrases: list[list[str]], prefixes: list[bool], distance: int) -> list[int]:
+def phrase_places(terms: list[str], words: list[str], prefix: bool) -> list[int]:
+    """Where a phrase stands in a list of terms."""
+    fits = lambda at: all(terms[at + k].startswith(w) if prefix and k == len(words) - 1 else terms[at + k] == w for k, w in enumerate(words))
+    return [at for at in range(len(terms) - len(words) + 1) if fits(at)]
+
+
+def near_counts(places: list[list[int]], lengths: list[int], distance: int) -> list[int]:
     """How often each phrase stands in a clump of all: at most ``distance`` terms from the end of its first to the start of its last.
 
-    Clumps are met from left to right; each counts the phrases' places in it, a place once.
+    ``places`` has each phrase's places in order. Clumps are met from left to right; each counts the phrases' places in it, a place once.
     """
-    places = []
-    for words, prefix in zip(phrases, prefixes):
-        fits = lambda at, words=words, prefix=prefix: all(terms[at + k].startswith(w) if prefix and k == len(words) - 1 else terms[at + k] == w for k, w in enumerate(words))
-        places.append([at for at in range(len(terms) - len(words) + 1) if fits(at)])
-    kept: list[set[int]] = [set() for _ in phrases]
-    now = [0] * len(phrases)
+    kept: list[set[int]] = [set() for _ in places]
+    now = [0] * len(places)
     while all(k < len(p) for k, p in zip(now, places)):
         at = [p[k] for k, p in zip(now, places)]
-        behind = [i for i, x in enumerate(at) if x + len(phrases[i]) + distance < max(at)]
+        behind = [i for i, x in enumerate(at) if x + lengths[i] + distance < max(at)]
         if behind:
             now[behind[0]] += 1
             continue
@@ -139,11 +140,24 @@ class Near:
         @F.arrow_udf("array<int>")
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in columns:
-                yield pa.array([near_counts(terms or [], words, prefixes, distance) for terms in batch.to_pylist()], pa.list_(pa.int32()))
+                yield pa.array([near_counts([phrase_places(terms or [], *p) for p in zip(words, prefixes)], list(map(len, words)), distance) for terms in batch.to_pylist()], pa.list_(pa.int32()))
 
-        content, tags = run(F.col("content_terms")), run(F.col("tag_terms"))
+        return self._both(run(F.col("content_terms")), run(F.col("tag_terms")))
+
+    def _both(self, content: Column, tags: Column) -> Column:
         return content if self.column == "content" else tags if self.column == "tags" else F.zip_with(content, tags, lambda a, b: a + b)
 
+    def placed(self, content: list[Column], tags: list[Column]) -> Column:
+        """The same from the phrases' places."""
+        lengths, distance = [len(p.words) for p in self.phrases], self.distance
+
+        @F.arrow_udf("array<int>")
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in columns:
+                yield pa.array([near_counts([x or [] for x in row or []], lengths, distance) for row in batch.to_pylist()], pa.list_(pa.int32()))
+
+        return self._both(run(F.array(*content)), run(F.array(*tags)))
+
 
 @dataclass
 class Query:
@@ -302,6 +316,54 @@ def _holds(shape: object) -> Column:
     return a & b if kind == "and" else a | b if kind == "or" else a & ~b
 
 
+def placed(query: Query, named: dict[tuple[str, bool], int]) -> dict[str, Column]:
+    """``any<number>`` and ``tf<number>`` as ``standing`` and ``counting`` give them, from the places of each word.
+
+    ``named`` says in which columns ``c<k>`` and ``t<k>`` a word's places in content and tags are, counted from 1; a prefix is a word of its own.
+    """
+
+    def stands(p: Phrase, side: str) -> Column:
+        at = [F.col(f"{side}{named[w, p.prefix and i == len(p.words) - 1]}") for i, w in enumerate(p.words)]
+        first = F.coalesce(at[0], F.array().cast("array<int>"))
+        if p.initial:
+            first = F.filter(first, lambda x: x == 1)
+        for i, c in enumerate(at[1:], 1):
+            first = F.array_intersect(first, back(c, i))
+        return first
+
+    def back(places: Column, by: int) -> Column:
+        return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda x: x - by)
+
+    sides = {side: [stands(p, side) for p in query.phrases] for side in "ct"}
+    hits = [F.size(sides["c"][i]) if p.column == "content" else F.size(sides["t"][i]) if p.column == "tags" else F.size(sides["c"][i]) + F.size(sides["t"][i]) for i, p in enumerate(query.phrases)]
+    out = {f"any{i}": h for i, h in enumerate(hits)} | {f"tf{i}": h for i, h in enumerate(hits)}
+    for first, group in query.near.items():
+        numbers = range(first, first + len(group.phrases))
+        both = group.placed([sides["c"][i] for i in numbers], [sides["t"][i] for i in numbers])
+        out |= {f"tf{i}": both[i - first] for i in numbers}
+    return out
+
+
+def best(docs: DataFrame, parsed: Query, n: Column, mean: Column, limit: int | None, digits: int = 6) -> DataFrame:
+    """``(rank, id, score)`` of counted documents ``(id, length, archived, insert_seq, any<number>, tf<number>)``; all without a rank if there is no limit.
+
+    How many documents a phrase is in comes from the same rows; ``n`` documents of ``mean`` length are in the collection.
+    """
+    numbers = range(len(parsed.phrases))
+    df = docs.agg(F.struct(*[F.count_if(F.col(f"any{i}") > 0).alias(f"df{i}") for i in numbers]).alias("t")).scalar()
+    rows = docs.where(~F.col("archived") & _holds(parsed.shape)).withColumn("t", df)
+    score = F.lit(0.0)
+    for i in numbers:
+        idf = F.log((n - F.col(f"t.df{i}") + 0.5) / (F.col(f"t.df{i}") + 0.5))
+        tf = F.col(f"tf{i}").cast("double")
+        score = score - F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+    order = [F.asc("score"), F.asc("insert_seq")]
+    scored = rows.select("id", F.round(score, digits).alias("score"), "insert_seq")
+    if limit is None:
+        return scored.select("id", "score")
+    return scored.orderBy(*order).limit(limit).select(F.row_number().over(W.orderBy(*order)).cast("int").alias("rank"), "id", "score")
+
+
 def search(memories: DataFrame, query: str, limit: int | None = 20, digits: int = 6) -> DataFrame:
     """``(rank, id, score)`` of visible rows that match, best (lowest) score first, ties by insert_seq.
 
@@ -314,16 +376,5 @@ def search(memories: DataFrame, query: str, limit: int | None = 20, digits: int
         return memories.sparkSession.createDataFrame([], "rank int, id string, score double")
     length = {"length": F.size("content_terms") + F.size("tag_terms")}
     docs = indexed(memories).withColumns(parsed.standing() | length).withColumns(parsed.counting()).drop("content_terms", "tag_terms")
-    numbers = range(len(parsed.phrases))
-    totals = docs.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"any{i}") > 0).alias(f"df{i}") for i in numbers]).alias("t")).scalar()
-    rows = docs.where(~F.col("archived") & _holds(parsed.shape)).withColumn("t", totals)
-    score = F.lit(0.0)
-    for i in numbers:
-        idf = F.log((F.col("t.n") - F.col(f"t.df{i}") + 0.5) / (F.col(f"t.df{i}") + 0.5))
-        tf = F.col(f"tf{i}").cast("double")
-        score = score - F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("t.mean")))
-    order = [F.asc("score"), F.asc("insert_seq")]
-    best = rows.select("id", F.round(score, digits).alias("score"), "insert_seq")
-    if limit is None:
-        return best.select("id", "score")
-    return best.orderBy(*order).limit(limit).select(F.row_number().over(W.orderBy(*order)).cast("int").alias("rank"), "id", "score")
+    totals = docs.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean")).alias("t")).scalar()
+    return best(docs.withColumn("all", totals), parsed, F.col("all.n"), F.col("all.mean"), limit, digits)

@@ -31,6 +31,27 @@ def current(memories: DataFrame) -> DataFrame:
     )
 
 
+class Snapshot:
+    """The current rows of a table: all of them, or those of a few ids, found before rows are folded, so that no other row moves."""
+
+    def __init__(self, memories: DataFrame):
+        self.raw = memories
+
+    def all(self) -> DataFrame:
+        return current(self.raw)
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """Rows of ``ids`` ``(id)``, a bounded number, which is sent to the rows."""
+        keyed = self.raw.withColumn("id", reference_key(F.col("id")))
+        return current(keyed.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi"))
+
+
+def rows_of(memories: DataFrame | Snapshot, ids: DataFrame) -> DataFrame:
+    """Visible current rows joined to ``ids``, which has a bounded number of rows, an ``id`` and what goes with it."""
+    rows = memories.of(ids) if isinstance(memories, Snapshot) else memories
+    return visible(rows).join(F.broadcast(ids), "id")
+
+
 def visible(memories: DataFrame) -> DataFrame:
     return memories.where("NOT archived")
 

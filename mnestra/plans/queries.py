@@ -5,15 +5,17 @@ Times and lists leave as text so that every engine writes them alike; ranks are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnestra.functions import scalars
-from mnestra.operators import fts, graph, references, store, vectors
+from mnestra.operators import graph, references, store, vectors
+from mnestra.operators.textindex import TextIndex
 from mnestra.plans import consolidate, retrieve
-from mnestra.sources.tables import reference_key, table
+from mnestra.sources.tables import reference_key, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,6 +39,21 @@ def m(spark: SparkSession, d: str) -> DataFrame:
     return store.current(table(spark, d, "memories"))
 
 
+def snapshot(spark: SparkSession, d: str) -> store.Snapshot:
+    return store.Snapshot(table(spark, d, "memories"))
+
+
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of the current memories, in the shared folder; made once for a state of the table's files."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    path = make(f"{d}/memories.parquet")
+    files = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(make(f"{d}/memories.parquet{{,/*}}")))
+    index = TextIndex(spark, f"{shared_folder(spark)}/mnestra-text/{hashlib.sha256(chr(10).join(files).encode()).hexdigest()[:32]}")
+    if not index.generations():
+        index.refresh(m(spark, d))
+    return index
+
+
 def v(spark: SparkSession, d: str) -> DataFrame:
     return vectors.live(table(spark, d, "vectors"))
 
@@ -233,7 +250,7 @@ def vec_topk_prefilter(spark, d):
 
 @query(f"{_near_sql((3,))} SELECT r.rank, m.id, round(1 / (1 + distance), 6) AS similarity, m.memory_type FROM r JOIN m ON m.id = r.id WHERE rank <= 50 AND NOT archived AND memory_type = 'fact' AND created_at >= '2024-01-01'")
 def vec_topk_postfilter(spark, d):
-    rows = retrieve.hits(m(spark, d), v(spark, d), q1(spark, d, 3), 50).where("memory_type = 'fact'").where(F.col("created_at") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    rows = retrieve.hits(snapshot(spark, d), v(spark, d), q1(spark, d, 3), 50).where("memory_type = 'fact'").where(F.col("created_at") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     return rows.select(F.col("vector_rank").cast("long").alias("rank"), "id", F.round("similarity", 6).alias("similarity"), "memory_type")
 
 
@@ -265,13 +282,13 @@ def vec_normalize(spark, d):
 
 @query(f"{_near_sql((1, 2, 5, 8))} SELECT query AS fact, id, round(1 / (1 + distance), 6) AS similarity FROM (SELECT r.*, row_number() OVER (PARTITION BY query ORDER BY rank) AS k FROM r JOIN m ON m.id = r.id WHERE rank <= 3 AND NOT archived AND 1 / (1 + distance) > 0.3) WHERE k = 1")
 def vec_dedup_match(spark, d):
-    return consolidate.merge_targets(m(spark, d), v(spark, d), q(spark, d, 1, 2, 5, 8), 0.3).withColumn("similarity", F.round("similarity", 6))
+    return consolidate.merge_targets(snapshot(spark, d), v(spark, d), q(spark, d, 1, 2, 5, 8), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"{_near_sql((1, 2, 5, 8))} SELECT query AS fact, row_number() OVER (PARTITION BY query ORDER BY rank) AS ordinal, m.id, content FROM r JOIN m ON m.id = r.id WHERE rank <= 5 AND NOT archived AND trim(coalesce(content, '')) <> 'The search gateway'")
 def contradiction_candidates(spark, d):
     facts = [(n, " The search gateway ", x) for n, x in q(spark, d, 1, 2, 5, 8)]
-    return consolidate.contradiction_candidates(m(spark, d), v(spark, d), facts).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return consolidate.contradiction_candidates(snapshot(spark, d), v(spark, d), facts).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 # -- text -----------------------------------------------------------------------------------
@@ -291,17 +308,19 @@ def _fts_sql(words: list[str], where: str, limit: int = 20, then: str = "SELECT
 
 @query(f"WITH {M_SQL}, {_DOCS}, x AS (SELECT id, unnest(terms) AS term FROM docs) SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n_occurrences FROM x GROUP BY term")
 def fts_terms(spark, d):
-    return fts.term_statistics(m(spark, d))
+    n = F.size("content_at") + F.size("tags_at")
+    return text_index(spark, d).postings().groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_occurrences"))
 
 
 @query(f"WITH {M_SQL}, {_DOCS}, x AS (SELECT id, len(terms) AS length, unnest(terms) AS term FROM docs) SELECT term, id, count(*) AS tf, any_value(length)::BIGINT AS length FROM x GROUP BY term, id")
 def fts_postings(spark, d):
-    return fts.postings(m(spark, d)).withColumn("length", F.col("length").cast("long"))
+    n = (F.size("content_at") + F.size("tags_at")).cast("long")
+    return text_index(spark, d).postings().select("term", "id", n.alias("tf"), F.col("length").cast("long").alias("length"))
 
 
 @query("WITH " + _fts_sql(["snapshot"], "tf0 > 0", 10**9, "SELECT id, score FROM ranked"))
 def fts_bm25(spark, d):
-    return fts.search(m(spark, d), "snapshot", None)
+    return text_index(spark, d).search("snapshot", None)
 
 
 def _searched(rows: DataFrame) -> DataFrame:
@@ -310,17 +329,17 @@ def _searched(rows: DataFrame) -> DataFrame:
 
 @query("WITH " + _fts_sql(["queue", "monitor"], "tf0 > 0 AND tf1 > 0"))
 def fts_search(spark, d):
-    return _searched(fts.search(m(spark, d), "Queue monitor"))
+    return _searched(text_index(spark, d).search("Queue monitor"))
 
 
 @query("WITH " + _fts_sql(["broker", "export"], "tf0 > 0 OR tf1 > 0"))
 def fts_search_or(spark, d):
-    return _searched(fts.search(m(spark, d), "broker OR export"))
+    return _searched(text_index(spark, d).search("broker OR export"))
 
 
 @query("WITH " + _fts_sql(["snapshot", "weekly"], "tf0 > 0 AND NOT tf1 > 0"))
 def fts_search_not(spark, d):
-    return _searched(fts.search(m(spark, d), "snapshot NOT weekly"))
+    return _searched(text_index(spark, d).search("snapshot NOT weekly"))
 
 
 # -- hybrid search and recall ---------------------------------------------------------------
@@ -338,11 +357,11 @@ def _result(rows: DataFrame, *more: str) -> DataFrame:
 SELECT row_number() OVER (ORDER BY source, place) AS rank, source, round(similarity, 6) AS similarity, {_RESULT_SQL} FROM f JOIN m ON m.id = f.id WHERE NOT archived QUALIFY rank <= 10"""
 )
 def hybrid_search(spark, d):
-    return _result(retrieve.hybrid_search(m(spark, d), v(spark, d), "cache", q1(spark, d, 3), 10), "source")
+    return _result(retrieve.hybrid_search(snapshot(spark, d), v(spark, d), "cache", q1(spark, d, 3), 10, text=text_index(spark, d)), "source")
 
 
 def _candidates(spark, d):
-    return retrieve.recall_candidates(m(spark, d), v(spark, d), q1(spark, d, 3))
+    return retrieve.recall_candidates(snapshot(spark, d), v(spark, d), q1(spark, d, 3))
 
 
 _CAND_SQL = f"{_near_sql((3,))}, c AS (SELECT row_number() OVER (ORDER BY rank) AS ordinal, 1 / (1 + distance) AS similarity, m.* FROM r JOIN m ON m.id = r.id WHERE rank <= 50 AND NOT archived)"
@@ -548,7 +567,7 @@ def kg_entity_mentions(spark, d):
 
 @query("WITH " + _fts_sql(["snap"], "tf0 > 0").replace("w = 'snap'", "starts_with(w, 'snap')"))
 def fts_search_prefix(spark, d):
-    return _searched(fts.search(m(spark, d), "snap*"))
+    return _searched(text_index(spark, d).search("snap*"))
 
 
 _PHRASE = "len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'token' AND {0}[i + 1] = 'broker'))"
@@ -556,12 +575,12 @@ _PHRASE = "len(list_filter(range(1, len({0})), lambda i: {0}[i] = 'token' AND {0
 
 @query("WITH " + _fts_sql(["token broker"], "tf0 > 0").replace("len(list_filter(terms, lambda w: w = 'token broker'))", _PHRASE.format("terms")))
 def fts_search_phrase(spark, d):
-    return _searched(fts.search(m(spark, d), '"Token broker"'))
+    return _searched(text_index(spark, d).search('"Token broker"'))
 
 
 @query(f"{_near_sql((1, 2, 5, 8))}, f AS (SELECT query, count(*) FILTER (NOT archived AND 1 / (1 + distance) > 0.3) AS n FROM r LEFT JOIN m ON m.id = r.id WHERE rank <= 3 GROUP BY query) SELECT count(*) FILTER (n = 0) AS new_facts, count(*) FILTER (n > 0) AS updated_facts FROM f")
 def consolidation_counts(spark, d):
-    return consolidate.merge_report(m(spark, d), v(spark, d), q(spark, d, 1, 2, 5, 8), 0.3)
+    return consolidate.merge_report(snapshot(spark, d), v(spark, d), q(spark, d, 1, 2, 5, 8), 0.3)
 
 
 # -- references -----------------------------------------------------------------------------

@@ -36,15 +36,29 @@ class VersionedTable:
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v=(\d+)", n)) and fs.exists(make(f"{self.path}/{n}/_SUCCESS")))
 
-    def read(self) -> DataFrame:
-        """Current rows; an empty table if nothing was written."""
+    def _newest(self, found: list[int], keys: DataFrame | None = None) -> DataFrame:
+        """The newest row or tombstone of each key in the given versions; of ``keys`` only, where these are given: few, so they are sent to the rows."""
+        stored = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("v", T.LongType())])
+        rows = self.spark.read.schema(stored).option("basePath", self.path).parquet(*[f"{self.path}/v={n}" for n in found])
+        if keys is not None:
+            rows = rows.join(F.broadcast(keys.select(*self.key)), self.key, "left_semi")
+        return rows.withColumn("_k", F.row_number().over(W.partitionBy(*self.key).orderBy(F.desc("v")))).where("_k = 1").drop("_k")
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        """Current rows, of a bounded number of ``keys`` if given; an empty table if nothing was written."""
         found = self.versions()
         if not found:
             return self.spark.createDataFrame([], self.schema)
-        stored = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("v", T.LongType())])
-        rows = self.spark.read.schema(stored).option("basePath", self.path).parquet(*[f"{self.path}/v={n}" for n in found])
-        newest = rows.withColumn("_k", F.row_number().over(W.partitionBy(*self.key).orderBy(F.desc("v")))).where("_k = 1 AND NOT _gone")
-        return newest.select(*self.schema.names)
+        return self._newest(found, keys).where("NOT _gone").select(*self.schema.names)
+
+    def changes(self, after: int) -> tuple[DataFrame, DataFrame, int]:
+        """Rows written and keys removed by versions later than ``after``, and the newest version's number; only these versions are read."""
+        found = [n for n in self.versions() if n > after]
+        if not found:
+            empty = self.spark.createDataFrame([], self.schema)
+            return empty, empty.select(*self.key), after
+        newest = self._newest(found)
+        return newest.where("NOT _gone").select(*self.schema.names), newest.where("_gone").select(*self.key), found[-1]
 
     def written(self, version: int) -> DataFrame:
         """The rows of one write, tombstones left out."""
