@@ -74,7 +74,8 @@ class MemoryEngine:
     def compact(self) -> None:
         for t in (self._vectors, self._triples):
             t.compact()
-        self._text.compact(self.memories(), self._memories.compact())
+        version = self._memories.compact()
+        self._text.compact(self.memories(), version)
 
     def text_index(self) -> TextIndex:
         """The text index, brought up to the newest version of the rows: only what was written since is read."""
