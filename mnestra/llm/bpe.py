@@ -34,6 +34,10 @@ LONG = 1_000_000
 CACHE_ENTRIES = 400_000
 
 
+#: Pairs of tokens a worker remembers to stand stably; beyond it they are judged anew.
+PAIR_ENTRIES = 2_000_000
+
+
 class BytePairEncoder:
     """Encoder over a rank file (``base64(token) rank`` a line)."""
 
@@ -101,6 +105,8 @@ class BytePairEncoder:
                 before, a = a, split_a[1]
             else:
                 before, b = b + 1, split_b[0]
+        if len(self._stable) >= PAIR_ENTRIES:
+            self._stable.clear()
         self._stable[left, right] = answer
         return answer
 
