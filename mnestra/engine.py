@@ -69,7 +69,7 @@ class MemoryEngine:
 
     def index_size(self) -> int:
         """Vectors of the index, those marked as deleted too."""
-        return self.vectors().count()
+        return vectors.index_size(self.vectors()).first()["n_vectors"]
 
     def compact(self) -> None:
         for t in (self._vectors, self._triples):
@@ -241,7 +241,8 @@ class MemoryEngine:
         """Subjects and objects under the names the store knows. A known subject stays; each call sees stored triples only."""
         known_triples = self.triples()
         names = sorted({x for s, _, o in rows for x in (s, o)})
-        known = {r[0] for r in known_triples.where(F.col("subject").isin(*names)).select("subject").distinct().collect()} if names else set()
+        asked = self.spark.createDataFrame([(n,) for n in names], "name string")
+        known = {r["name"] for r in graph.known_entities(known_triples.where(F.col("subject").isin(*names)), asked).where("known").collect()} if names else set()
         recent = [r["name"] for r in graph.recent_entities(known_triples, schema.ENTITY_CANDIDATES).orderBy("rank").collect()]
 
         def resolve(name: str) -> str:

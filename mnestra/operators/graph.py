@@ -31,6 +31,18 @@ def about(rows: DataFrame, entity: str) -> DataFrame:
     return rows.where((F.col("subject") == entity) | (F.col("object") == entity))
 
 
+def mentions(rows: DataFrame) -> DataFrame:
+    """``(name, n)``: how often a name stands as subject or object; null is none."""
+    names = rows.select(F.col("subject").alias("name")).unionAll(rows.select("object"))
+    return names.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def known_entities(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``(name, known)``: whether each of ``names`` ``(name)`` is a subject; null names are none."""
+    subjects = rows.select(F.col("subject").alias("name")).where("name IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    return names.select("name").where("name IS NOT NULL").distinct().join(subjects, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def recent_entities(rows: DataFrame, limit: int = 20) -> DataFrame:
     """``(rank, name, created_at)``: names of subjects and objects, newest first.
 

@@ -58,6 +58,32 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+#: Pairs measured at a time.
+_PAIRS = 65_536
+
+
+def _may_count(x: np.ndarray, q: np.ndarray, ids: np.ndarray, metric: str, k: int | None, radius: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """``(query, row)`` of all pairs that may be among a query's k nearest ids or within the radius, by one matrix product.
+
+    The product's rounding is allowed for; whoever asks measures what is left.
+    """
+    dots = q @ x.T
+    if metric == "ip":
+        near, slack = 1.0 - dots, 1e-12 * (1.0 + np.abs(dots).max(initial=0))
+    else:
+        xx, qq = (x * x).sum(1), (q * q).sum(1)
+        near, slack = qq[:, None] - 2.0 * dots + xx[None, :], 1e-12 * (1.0 + xx.max(initial=0) + qq.max(initial=0))
+    keep = np.ones(near.shape, bool) if radius is None else near <= radius + slack
+    if k is not None and k < len(x):
+        best = near
+        if len(np.unique(ids)) < len(ids):  # of several vectors of an id the nearest counts
+            order = np.argsort(ids, kind="stable")
+            best = np.minimum.reduceat(near[:, order], np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0]), axis=1)
+        if k < best.shape[1]:
+            keep &= near <= np.partition(best, k - 1, axis=1)[:, k - 1 : k] + slack
+    return np.nonzero(keep)
+
+
 def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k: int | None = None, radius: float | None = None, once: bool = True) -> DataFrame:
     """``(query, id, distance)``; with ``k`` at least each query's k nearest ids, with ``radius`` those within it.
 
@@ -68,7 +94,7 @@ def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k:
     if not queries:
         return vectors.sparkSession.createDataFrame([], "query string, id string, distance double")
     q = np.array([v for _, v in queries], "f8")
-    names = [str(n) for n, _ in queries]
+    names = pa.array([str(n) for n, _ in queries], pa.string())
     if len(names) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} query vectors")
     dim = q.shape[1]
@@ -88,23 +114,13 @@ def scored(vectors: DataFrame, queries: Sequence[tuple], metric: str = "l2", k:
                 if not batch.num_rows:
                     continue
                 ids = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                repeated = len(ids) and len(np.unique(ids)) < len(ids)
-                at, which, d = [], [], []
-                for i, v in enumerate(q):
-                    own = 1.0 - x @ v if metric == "ip" else ((x - v) ** 2).sum(1)
-                    keep = np.ones(len(own), bool) if radius is None else own <= radius
-                    if k is not None and k < len(own):
-                        best = own
-                        if repeated:
-                            best = np.full(ids.max() + 1, np.inf)
-                            np.minimum.at(best, ids, own)
-                        if k < len(best):
-                            keep &= own <= np.partition(best, k - 1)[k - 1] + 1e-12
-                    rows = np.flatnonzero(keep)
-                    at.append(rows)
-                    which += [names[i]] * len(rows)
-                    d.append(own[rows])
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(d))], names=["query", "id", "distance"])
+                which, rows = _may_count(x, q, ids, metric, k, radius)
+                for t in range(0, len(rows), _PAIRS):
+                    i, j = which[t : t + _PAIRS], rows[t : t + _PAIRS]
+                    d = 1.0 - (x[j] * q[i]).sum(1) if metric == "ip" else ((x[j] - q[i]) ** 2).sum(1)
+                    if radius is not None:
+                        i, j, d = i[d <= radius], j[d <= radius], d[d <= radius]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(d)], names=["query", "id", "distance"])
 
     found = vectors.select("id", "embedding").mapInArrow(run, f"query string, id {kind}, distance double")
     return found.groupBy("query", "id").agg(F.min("distance").alias("distance")) if once else found
@@ -120,21 +136,39 @@ def nearest(vectors: DataFrame, queries: Sequence[tuple], k: int, metric: str =
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "distance", similarity(F.col("distance")).alias("similarity"))
 
 
-def within(vectors: DataFrame, queries: Sequence[tuple], radius: float, most: int | None = None, digits: int = 9) -> DataFrame:
-    """``(query, rank, id, distance, similarity)`` of all within ``radius``, the ``most`` nearest if given."""
-    rows = scored(vectors, queries, radius=radius).withColumn("distance", F.round("distance", digits))
-    out = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).select("query", "rank", "id", "distance", similarity(F.col("distance")).alias("similarity"))
-    return out if most is None else out.where(F.col("rank") <= most)
+def within(vectors: DataFrame, queries: Sequence[tuple], radius: float, most: int | None = None, digits: int = 9, ranked: bool = False) -> DataFrame:
+    """``(query, id, distance, similarity)`` of all within ``radius``; with ``most`` the nearest of them, with their ``rank``.
+
+    Without ``most`` a query's hits are unbounded and nothing puts them in one task; ``ranked`` asks for their rank all the same, where
+    they are known to be few. A least number of candidates, as graph indexes need to stop late enough, has no meaning here: all are measured.
+    """
+    rows = scored(vectors, queries, k=most, radius=radius).withColumn("distance", F.round("distance", digits))
+    out = rows.select("query", "id", "distance", similarity(F.col("distance")).alias("similarity"))
+    if most is None and not ranked:
+        return out
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id")))
+    return (out if most is None else out.where(F.col("rank") <= most)).select("query", "rank", "id", "distance", "similarity")
 
 
 def nearest_documents(vectors: DataFrame, documents: DataFrame, queries: Sequence[tuple], n: int, digits: int = 9) -> DataFrame:
     """``(query, rank, document, distance)``: the n documents whose nearest vector is nearest.
 
-    ``documents`` has ``(id, document)``; vectors of no document are left out.
+    ``documents`` has ``(id, document)``; vectors of no document are left out. Vectors are put to their documents first; then
+    each batch keeps what can be among the n nearest documents, by their nearest vectors.
     """
-    best = scored(vectors, queries, once=False).join(documents.where("document IS NOT NULL").select("id", "document"), "id").groupBy("query", "document").agg(F.round(F.min("distance"), digits).alias("distance"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "document"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= n).select("query", "rank", "document", "distance")
+    owned = vectors.join(documents.where("document IS NOT NULL").select("id", "document"), "id").select(F.col("document").alias("id"), "embedding")
+    return nearest(owned, queries, n, digits=digits).select("query", "rank", F.col("id").alias("document"), "distance")
+
+
+def get(vectors: DataFrame, id: str) -> DataFrame:
+    """The live vectors of an id, equal ones once; none if it is unknown or deleted."""
+    return vectors.where(F.col("id") == reference_key(F.lit(id))).distinct()
+
+
+def index_size(vectors: DataFrame) -> DataFrame:
+    """One row ``(n_vectors, n_deleted)``: rows of the table, deleted ones too, equal rows once."""
+    rows = vectors.select("id", "embedding", F.coalesce("deleted", F.lit(False)).alias("deleted")).distinct()
+    return rows.agg(F.count("*").alias("n_vectors"), F.count_if("deleted").alias("n_deleted"))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

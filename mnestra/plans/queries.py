@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnestra.functions import scalars
+from mnestra.functions import embed, scalars
 from mnestra.operators import graph, references, store, vectors
 from mnestra.operators.textindex import TextIndex
 from mnestra.plans import consolidate, retrieve
+from mnestra.sources import rows as text_rows
 from mnestra.sources.tables import reference_key, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,7 +257,7 @@ def vec_topk_postfilter(spark, d):
 
 @query(f"{_near_sql((3,))} {_OUT_SQL} WHERE distance <= 1.5")
 def vec_range(spark, d):
-    return _out(vectors.within(v(spark, d), q(spark, d, 3), 1.5))
+    return _out(vectors.within(v(spark, d), q(spark, d, 3), 1.5, ranked=True))
 
 
 _IP = "1 - list_sum(list_transform(list_zip(v.e, q.e), lambda p: p[1] * p[2]))"
@@ -501,15 +502,14 @@ def basic_tokens(spark, d):
 # -- further rows of the inventory ----------------------------------------------------------
 @query("SELECT count(*) AS n_vectors, count(*) FILTER (deleted) AS n_deleted FROM (SELECT DISTINCT id, embedding, deleted FROM vectors)")
 def vec_index_size(spark, d):
-    rows = table(spark, d, "vectors").dropDuplicates(["id", "embedding", "deleted"])
-    return rows.agg(F.count("*").alias("n_vectors"), F.count_if("deleted").alias("n_deleted"))
+    return vectors.index_size(table(spark, d, "vectors"))
 
 
 @query(f"WITH {V_SQL} SELECT id, round(e[1], 6) AS first, len(e) AS dim FROM v WHERE id = (SELECT min(id) FROM v)")
 def vec_get(spark, d):
     rows = whole_vectors(spark, d)
     one = rows.agg(F.min("id").alias("id")).first()["id"] or ""
-    return rows.where(F.col("id") == one).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
+    return vectors.get(rows, one).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
 
 
 @query(f"""WITH {V_SQL}, n AS (SELECT id, list_transform(e, lambda x: x * 2) AS e FROM v WHERE id < '4'), u AS (SELECT id, e FROM n UNION ALL SELECT id, e FROM v WHERE id NOT IN (SELECT id FROM n))
@@ -554,15 +554,12 @@ def mem_after_forget(spark, d):
 @query(f"WITH {T_SQL}, n AS (SELECT DISTINCT object AS name FROM t WHERE object IS NOT NULL) SELECT name, name IN (SELECT subject FROM t WHERE subject IS NOT NULL) AS known FROM n")
 def kg_known_entities(spark, d):
     rows = t(spark, d)
-    names = rows.select(F.col("object").alias("name")).where("name IS NOT NULL").distinct()
-    known = rows.select(F.col("subject").alias("name")).distinct().withColumn("known", F.lit(True))
-    return names.join(known, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+    return graph.known_entities(rows, rows.select(F.col("object").alias("name")))
 
 
 @query(f"WITH {T_SQL} SELECT name, count(*) AS n FROM (SELECT subject AS name FROM t UNION ALL SELECT object FROM t) WHERE name IS NOT NULL GROUP BY name")
 def kg_entity_mentions(spark, d):
-    rows = t(spark, d)
-    return rows.select(F.col("subject").alias("name")).unionAll(rows.select("object")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+    return graph.mentions(t(spark, d))
 
 
 @query("WITH " + _fts_sql(["snap"], "tf0 > 0").replace("w = 'snap'", "starts_with(w, 'snap')"))
@@ -583,6 +580,111 @@ def consolidation_counts(spark, d):
     return consolidate.merge_report(snapshot(spark, d), v(spark, d), q(spark, d, 1, 2, 5, 8), 0.3)
 
 
+@query(f"{_near_sql((1, 2, 5))} {_OUT_SQL} WHERE distance <= 1.6 AND rank <= 7")
+def vec_range_most(spark, d):
+    return _out(vectors.within(v(spark, d), q(spark, d, 1, 2, 5), 1.6, 7))
+
+
+@query(f"WITH {M_SQL} SELECT '{{' || string_agg('\"' || memory_type || '\":' || n, ',' ORDER BY memory_type) || '}}' AS by_type FROM (SELECT memory_type, count(*) AS n FROM m WHERE NOT archived GROUP BY memory_type)")
+def mem_stats_map(spark, d):
+    return store.stats(m(spark, d)).select(F.to_json("by_type").alias("by_type"))
+
+
+@query(f"WITH {M_SQL} SELECT count(*) FILTER (NOT archived AND decay_score > 0.01) AS n_decayed, count(*) FILTER (NOT archived AND importance < 4) AS n_eligible FROM m")
+def mem_affected_rows(spark, d):
+    rows = m(spark, d)
+    return store.apply_decay(rows, 0.95).agg(F.count_if("decayed").alias("n_decayed")).withColumn("n_eligible", store.eligible(rows, 4.0).agg(F.count("*")).scalar())
+
+
+@query("SELECT insert_seq, insert_seq % 4 < 2 AS valid FROM (SELECT DISTINCT insert_seq FROM memories)")
+def valid_ids(spark, d):
+    rows, n = table(spark, d, "memories").select("insert_seq").distinct(), F.col("insert_seq")
+    code = F.md5(n.cast("string"))
+    cut = lambda a, b: F.substring(code, a, b)
+    id = F.when(n % 4 == 0, code).when(n % 4 == 1, F.upper(F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)))).when(n % 4 == 2, cut(1, 31)).otherwise(F.concat(F.lit("g"), cut(1, 31)))
+    return rows.select("insert_seq", text_rows.valid_id(id).alias("valid"))
+
+
+@query("""SELECT insert_seq, strftime(CASE insert_seq % 4 WHEN 0 THEN c WHEN 1 THEN c - INTERVAL 2 HOUR WHEN 2 THEN c + INTERVAL 330 MINUTE END, '%Y-%m-%d %H:%M:%S') AS time
+FROM (SELECT insert_seq, min(created_at) AS c FROM memories GROUP BY insert_seq)""")
+def parse_times(spark, d):
+    rows, n = table(spark, d, "memories").groupBy("insert_seq").agg(F.min("created_at").alias("c")), F.col("insert_seq")
+    said = F.concat(F.date_format("c", "yyyy-MM-dd'T'HH:mm:ss"), F.when(n % 4 == 0, "Z").when(n % 4 == 1, "+02:00").when(n % 4 == 2, "-05:30").otherwise(" o'clock"))
+    return rows.select("insert_seq", F.date_format(text_rows.parse_time(said), "yyyy-MM-dd HH:mm:ss").alias("time"))
+
+
+@query(f"WITH {M_SQL} SELECT insert_seq, content, round(importance, 6) AS importance, array_to_string(tags, ',') AS tags, memory_type, {_time('created_at')}, archived FROM m")
+def rows_round_trip(spark, d):
+    """Written as text and decoded again; ids become codes of the form that decoding asks for."""
+    rows = m(spark, d).withColumn("id", F.md5("id"))
+    back = text_rows.decode(text_rows.encode(rows))
+    return back.select("insert_seq", "content", F.round("importance", 6).alias("importance"), F.array_join("tags", ",").alias("tags"), "memory_type", text("created_at"), "archived")
+
+
+@query("SELECT insert_seq, array_to_string(list_transform(string_split(coalesce(source_session, '') || ', x ,,' || insert_seq, ','), lambda p: trim(p)), '|') AS parts FROM (SELECT insert_seq, min(source_session) AS source_session FROM memories GROUP BY insert_seq)")
+def split_lists(spark, d):
+    rows = table(spark, d, "memories").groupBy("insert_seq").agg(F.min("source_session").alias("s"))
+    return rows.select("insert_seq", F.array_join(scalars.split_list(F.concat(F.coalesce("s", F.lit("")), F.lit(", x ,,"), "insert_seq")), "|").alias("parts"))
+
+
+@query(f"WITH {M_SQL} SELECT id, CASE WHEN length(coalesce(content, '')) > 0 THEN 1 ELSE 0 END::DOUBLE AS first, CASE WHEN length(coalesce(content, '')) > 0 THEN 1 ELSE 0 END::DOUBLE AS total, 384 AS dim FROM m")
+def mock_embeddings(spark, d):
+    rows = embed.embed(m(spark, d).select("id", "content"), embed.MockEmbedder(384))
+    return rows.select("id", F.col("embedding")[0].cast("double").alias("first"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"), F.size("embedding").alias("dim"))
+
+
+@query(f"""WITH {M_SQL}, h AS (SELECT id, hex(encode(content)) AS h, length(hex(encode(content))) // 2 AS n FROM m WHERE content <> ''),
+  b AS (SELECT id, list_transform(range(16), lambda i: ('0x' || substr(h, (2 * (i % n) + 1)::BIGINT, 2))::INT) AS b FROM h),
+  e AS (SELECT id, list_transform(range(16), lambda i: (CASE WHEN b[i + 1] > 127 THEN b[i + 1] - 256 ELSE b[i + 1] END::FLOAT / 255::FLOAT + sin(0.1::DOUBLE * i)::FLOAT)::DOUBLE) AS e FROM b)
+SELECT id, round((e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x)))), 5) AS first, round((e[16] / sqrt(list_sum(list_transform(e, lambda x: x * x)))), 5) AS last FROM e""")
+def hash_embeddings(spark, d):
+    rows = embed.embed(m(spark, d).where("content <> ''").select("id", "content"), embed.HashEmbedder(16))
+    return rows.select("id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(F.col("embedding")[15].cast("double"), 5).alias("last"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VOCABULARY = {"[PAD]": 0, "[UNK]": 100, "[CLS]": 101, "[SEP]": 102} | {c: 200 + i for i, c in enumerate(_LETTERS)} | {f"##{c}": 300 + i for i, c in enumerate(_LETTERS)}
+
+
+@query(f"""WITH {M_SQL}, x AS (SELECT id, regexp_extract_all(translate(coalesce(content, ''), '{_LETTERS.upper()}', '{_LETTERS}'), '([[:punct:]]|[^\\s[:punct:]]+)') AS tokens FROM m),
+  p AS (SELECT id, flatten(list_transform(tokens, lambda t: CASE WHEN regexp_full_match(t, '[a-z]+') THEN list_transform(range(1, length(t) + 1), lambda i: (CASE WHEN i = 1 THEN 200 ELSE 300 END + ascii(t[i]) - 97)::INT) ELSE [100] END)) AS p FROM x),
+  i AS (SELECT id, [101] || p[1:22] || [102] AS i FROM p)
+SELECT id, array_to_string(list_resize(i, 24, 0), ',') AS ids, len(i) AS n_tokens FROM i""")
+def word_piece_ids(spark, d):
+    """Ids and attention mask over a vocabulary of single letters, cut to 24."""
+    ids = m(spark, d).select("id", embed.word_piece_ids(F.col("content"), embed.WordPiece(_VOCABULARY, 24)).alias("ids"))
+    return ids.select("id", F.array_join("ids", ",").alias("ids"), F.aggregate(embed.attention_mask(F.col("ids")), F.lit(0).cast("long"), lambda s, x: s + x).alias("n_tokens"))
+
+
+_EDGES = "e AS (SELECT DISTINCT subject, object FROM t), s0 AS (SELECT min(subject) AS s FROM e)"
+
+
+@query(f"""WITH RECURSIVE {T_SQL}, {_EDGES}, r AS (SELECT s, 1 AS step FROM s0 UNION SELECT object, step + 1 FROM r JOIN e ON e.subject = r.s WHERE step < 40),
+  f AS (SELECT s, min(step) AS step FROM r GROUP BY s) SELECT f.step, e.subject, e.object FROM f JOIN e ON e.subject = f.s""")
+def kg_chain(spark, d):
+    """Steps along all relations from the first subject."""
+    rows = t(spark, d).withColumn("predicate", F.lit("next_step"))
+    start = rows.agg(F.min("subject").alias("s")).first()["s"] or ""
+    return graph.chain(rows, start)
+
+
+def _split_sql(tf: str) -> str:
+    """The search of one word with the number of content terms at hand."""
+    sql = "WITH " + _fts_sql(["queue"], "tf0 > 0")
+    cut = f", len({_TERMS.format(chr(99) + 'oalesce(content, ' + chr(39) * 2 + ')')}) AS clen FROM m)"
+    return sql.replace(" AS terms FROM m)", " AS terms" + cut).replace("len(list_filter(terms, lambda w: w = 'queue'))", tf)
+
+
+@query(_split_sql("len(list_filter(terms[1:clen], lambda w: w = 'queue'))"))
+def fts_search_column(spark, d):
+    return _searched(text_index(spark, d).search("content: queue"))
+
+
+@query(_split_sql("coalesce((clen > 0 AND terms[1] = 'queue')::INT, 0) + coalesce((terms[clen + 1] = 'queue')::INT, 0)"))
+def fts_search_initial(spark, d):
+    return _searched(text_index(spark, d).search("^queue"))
+
+
 # -- references -----------------------------------------------------------------------------
 for _name, _query in (("p5_found", references.p5_found), ("p5_counts", references.p5_counts), ("p5_validity", references.p5_validity)):
     _QUERIES[_name], _SQL[_name] = _query, references.SQL[_name]

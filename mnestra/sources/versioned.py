@@ -17,9 +17,13 @@ class VersionedTable:
 
     A write is one new folder, so readers never see half of it once it is named; a failed one leaves
     no finished folder. ``compact`` writes the current rows as one version and removes the older
-    folders from the oldest on, so that a row goes before its tombstone.
+    folders from the oldest on, so that a row goes before its tombstone. Compacted rows keep the
+    number of the write they came by, and tombstones stay for ``_GRACE`` seconds, so a write that was
+    under way and ends after the compaction is neither hidden by older rows nor brings deleted ones back.
     """
 
+    _GRACE = 86_400
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str]):
         self.spark, self.path, self.key = spark, path, list(key)
         self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
@@ -38,11 +42,12 @@ class VersionedTable:
 
     def _newest(self, found: list[int], keys: DataFrame | None = None) -> DataFrame:
         """The newest row or tombstone of each key in the given versions; of ``keys`` only, where these are given: few, so they are sent to the rows."""
-        stored = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("v", T.LongType())])
+        stored = T.StructType([*self.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("_at", T.LongType()), T.StructField("v", T.LongType())])
         rows = self.spark.read.schema(stored).option("basePath", self.path).parquet(*[f"{self.path}/v={n}" for n in found])
         if keys is not None:
             rows = rows.join(F.broadcast(keys.select(*self.key)), self.key, "left_semi")
-        return rows.withColumn("_k", F.row_number().over(W.partitionBy(*self.key).orderBy(F.desc("v")))).where("_k = 1").drop("_k")
+        rows = rows.withColumn("_at", F.coalesce("_at", "v"))
+        return rows.withColumn("_k", F.row_number().over(W.partitionBy(*self.key).orderBy(F.desc("_at")))).where("_k = 1").drop("_k")
 
     def read(self, keys: DataFrame | None = None) -> DataFrame:
         """Current rows, of a bounded number of ``keys`` if given; an empty table if nothing was written."""
@@ -81,7 +86,11 @@ class VersionedTable:
 
     def compact(self) -> int:
         old = self.versions()
-        version = self._write(self.read(), False)
+        if not old:
+            return self._write(self.read(), False)
+        version = max(time.time_ns(), old[-1] + 1)
+        kept = self._newest(old).where(~F.col("_gone") | (F.col("_at") > F.lit(version - self._GRACE * 10**9)))
+        kept.drop("v").write.parquet(f"{self.path}/v={version}")
         fs, _, make = self._fs()
         for n in old:
             fs.delete(make(f"{self.path}/v={n}"), True)

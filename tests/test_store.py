@@ -2,9 +2,11 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnestra import schema
 from mnestra.operators import store
+from mnestra.sources.versioned import VersionedTable
 
 AT = datetime(2024, 5, 1)
 
@@ -91,3 +93,22 @@ def test_fold(spark):
 def test_max_merge(make, spark):
     facts = spark.createDataFrame([("a", "f1", 3.0), ("a", "f2", 6.0), ("z", "f", 9.0)], "id string, content string, importance double")
     assert [r[:] for r in store.max_merge(make(memory("a"), memory("b")), facts).collect()] == [("a", "f2", 6.0)]
+
+
+def test_a_write_under_way_survives_compaction(spark, tmp_path):
+    """It began before the compaction and ends after it: its rows count by the time it began."""
+    table = VersionedTable(spark, str(tmp_path / "t"), T.StructType([T.StructField("id", T.StringType()), T.StructField("x", T.LongType())]), ["id"])
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, x long")
+    first = table.upsert(rows(("a", 1), ("b", 1), ("d", 1)))
+    table.delete(rows(("d", 0)))
+    late = first + 1  # numbered between both writes, not finished yet
+    table.upsert(rows(("b", 3)))
+    table.compact()
+    rows(("a", 2), ("b", 2), ("c", 2), ("d", 2)).withColumn("_gone", F.lit(False)).write.parquet(f"{table.path}/v={late}")
+    want = {("a", 2), ("b", 3), ("c", 2)}
+    assert {tuple(r) for r in table.read().collect()} == want
+    table.compact()
+    assert {tuple(r) for r in table.read().collect()} == want and len(table.versions()) == 1
+    assert {tuple(r) for r in table.read(rows(("b", 0), ("z", 0))).collect()} == {("b", 3)}
+    changed, removed, version = table.changes(late)
+    assert version == table.versions()[-1] and {r["id"] for r in removed.collect()} == {"d"} and changed.count() == 3
