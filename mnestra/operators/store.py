@@ -18,10 +18,13 @@ def current(memories: DataFrame) -> DataFrame:
     """The row of greatest insert_seq of each id, decoded leniently.
 
     Ids are compared without outer blanks and case; null and blank ones are left out. Null tags and
-    null members become none, an unknown type a fact, a null archived flag false.
+    null members become none, an unknown type a fact, a null archived flag false. Rows of one id and insert_seq are one version
+    delivered again; should they differ, that with the greatest content counts, and where the caller has dropped
+    the content, so that no text is read or moved, that of the latest updated_at and greatest importance.
     """
     rows = memories.withColumn("id", reference_key(F.col("id"))).where("id IS NOT NULL")
-    newest = rows.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy(F.desc_nulls_last("insert_seq"), F.desc("content")))).where("_k = 1").drop("_k")
+    ties = [F.desc("content")] if "content" in memories.columns else [F.desc_nulls_last("updated_at"), F.desc_nulls_last("importance")]
+    newest = rows.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy(F.desc_nulls_last("insert_seq"), *ties))).where("_k = 1").drop("_k")
     return newest.withColumns(
         {
             "tags": F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()),
@@ -166,9 +169,9 @@ def fold_oplog(oplog: DataFrame) -> DataFrame:
     Deletes and inserts cut an id's history; what counts begins at its last insert, so two
     aggregations with partial sums and a join that spares hot ids give the state without a loop.
     """
-    log = oplog.select("seq", "ts", reference_key(F.col("id")).alias("id"), F.lower(F.trim("op")).alias("op"), "value").where("id IS NOT NULL").distinct()
+    log = oplog.select("seq", "ts", reference_key(F.col("id")).alias("id"), F.lower(F.trim("op")).alias("op"), "value").where("id IS NOT NULL")
     ends = log.groupBy("id").agg(F.max(F.when(F.col("op").isin("insert", "delete"), F.struct("seq", "op"))).alias("cut")).where("cut.op = 'insert'").select("id", F.col("cut.seq").alias("born"))
-    live = join_unique(log, ends, "id").where("seq >= born")
+    live = join_unique(log, ends, "id").where("seq >= born").distinct()  # of what counts only, not of the whole log
     at = F.struct("seq", F.col("value").alias("v"))
     state = live.groupBy("id").agg(
         F.max("born").alias("inserted_seq"),

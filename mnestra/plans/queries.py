@@ -40,6 +40,11 @@ def m(spark: SparkSession, d: str) -> DataFrame:
     return store.current(table(spark, d, "memories"))
 
 
+def n(spark: SparkSession, d: str) -> DataFrame:
+    """Current rows without their content, for queries that don't show it."""
+    return store.current(table(spark, d, "memories").drop("content"))
+
+
 def snapshot(spark: SparkSession, d: str) -> store.Snapshot:
     return store.Snapshot(table(spark, d, "memories"))
 
@@ -114,43 +119,43 @@ _LISTED = f"SELECT row_number() OVER (ORDER BY importance DESC NULLS LAST, creat
 
 @query(f"WITH {M_SQL} SELECT * FROM ({_LISTED} AND memory_type = 'preference' AND created_at >= '2024-01-01' AND len(list_filter(['cache'], lambda x: NOT list_contains(tags, x))) = 0) WHERE rank <= 50")
 def mem_list_filtered(spark, d):
-    return store.list_memories(m(spark, d), ["cache"], "preference", "2024-01-01 00:00:00", 50).select(rank(), "id", "importance", text("created_at"), "insert_seq")
+    return store.list_memories(n(spark, d), ["cache"], "preference", "2024-01-01 00:00:00", 50).select(rank(), "id", "importance", text("created_at"), "insert_seq")
 
 
 @query(f"WITH {M_SQL} SELECT * FROM ({_LISTED} AND created_at >= '2024-06-01') WHERE rank <= 100")
 def mem_list_since(spark, d):
-    return store.list_memories(m(spark, d), since="2024-06-01 00:00:00").select(rank(), "id", "importance", text("created_at"), "insert_seq")
+    return store.list_memories(n(spark, d), since="2024-06-01 00:00:00").select(rank(), "id", "importance", text("created_at"), "insert_seq")
 
 
 @query(f"WITH {M_SQL} SELECT count(*) AS total_memories, round(coalesce(avg(importance), 0), 6) AS avg_importance, 0::BIGINT AS db_size_bytes FROM m WHERE NOT archived")
 def mem_stats_total(spark, d):
-    return store.stats(m(spark, d)).select("total_memories", F.round("avg_importance", 6).alias("avg_importance"), "db_size_bytes")
+    return store.stats(n(spark, d)).select("total_memories", F.round("avg_importance", 6).alias("avg_importance"), "db_size_bytes")
 
 
 @query(f"WITH {M_SQL} SELECT memory_type, count(*) AS n FROM m WHERE NOT archived GROUP BY memory_type")
 def mem_stats_by_type(spark, d):
-    return store.stats_by_type(m(spark, d))
+    return store.stats_by_type(n(spark, d))
 
 
 @query(f"WITH {M_SQL} SELECT id, NOT archived AND coalesce(decay_score > 0.01, false) AS decayed, round(CASE WHEN NOT archived AND decay_score > 0.01 THEN decay_score * (0.95::DOUBLE + importance / 20) ELSE decay_score END, 9) AS decay_score FROM m")
 def mem_decay_apply(spark, d):
-    return store.apply_decay(m(spark, d), 0.95).select("id", "decayed", F.round("decay_score", 9).alias("decay_score"))
+    return store.apply_decay(n(spark, d), 0.95).select("id", "decayed", F.round("decay_score", 9).alias("decay_score"))
 
 
 @query(f"WITH {M_SQL} SELECT id, round(CASE WHEN insert_seq % 7 = 0 AND NOT archived THEN decay_score * 0.1::DOUBLE ELSE decay_score END, 9) AS decay_score FROM m")
 def mem_forget_decay(spark, d):
-    rows = m(spark, d)
+    rows = n(spark, d)
     return store.forget_by_decay(rows, rows.where("insert_seq % 7 = 0")).select("id", F.round("decay_score", 9).alias("decay_score"))
 
 
 @query(f"WITH {M_SQL} SELECT id, array_to_string(tags, ',') AS tags FROM m WHERE NOT archived AND (list_contains(tags, 'cache') OR list_contains(tags, 'rust'))")
 def mem_tags_any(spark, d):
-    return store.visible(m(spark, d)).where(scalars.any_tag(F.col("tags"), ["cache", "rust"])).select("id", F.array_join("tags", ",").alias("tags"))
+    return store.visible(n(spark, d)).where(scalars.any_tag(F.col("tags"), ["cache", "rust"])).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"WITH {M_SQL} SELECT id, array_to_string(tags, ',') AS tags FROM m WHERE NOT archived AND lower(to_json(tags)) LIKE '%\"c%e\"%'")
 def mem_tags_all_like(spark, d):
-    return store.visible(m(spark, d)).where(scalars.all_tags(F.col("tags"), ["C%E"], compat_like=True)).select("id", F.array_join("tags", ",").alias("tags"))
+    return store.visible(n(spark, d)).where(scalars.all_tags(F.col("tags"), ["C%E"], compat_like=True)).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 _TOP_TWO = "SELECT tag FROM (SELECT unnest(tags) AS tag FROM m) GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 2"
@@ -158,7 +163,7 @@ _TOP_TWO = "SELECT tag FROM (SELECT unnest(tags) AS tag FROM m) GROUP BY tag ORD
 
 @query(f"WITH {M_SQL}, w AS ({_TOP_TWO}) SELECT id, array_to_string(tags, ',') AS tags FROM m WHERE NOT archived AND len(list_filter((SELECT list(tag) FROM w), lambda x: NOT list_contains(tags, x))) = 0")
 def mem_tags_all(spark, d):
-    rows = m(spark, d)
+    rows = n(spark, d)
     top = [r[0] for r in rows.select(F.explode("tags").alias("tag")).groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(2).collect()]
     return store.visible(rows).where(scalars.all_tags(F.col("tags"), top)).select("id", F.array_join("tags", ",").alias("tags"))
 
@@ -173,7 +178,7 @@ def _session(rows: DataFrame) -> str:
 
 @query(f"WITH {M_SQL}, top AS (SELECT * FROM ({_LISTED}) WHERE rank <= 1000) SELECT top.rank, top.id, m.memory_type FROM top JOIN m USING (id) WHERE m.source_session = {_SESSION}")
 def mem_session_top1000(spark, d):
-    rows = m(spark, d)
+    rows = n(spark, d)
     return store.session_rows(rows, _session(rows)).select(rank(), "id", "memory_type")
 
 
@@ -188,7 +193,7 @@ SELECT n.id, m.id IS NOT NULL AS taken FROM n LEFT JOIN m ON m.id = n.id WHERE n
 def mem_insert_check(spark, d):
     new = table(spark, d, "oplog").where("op = 'insert'").select(reference_key(F.col("id")).alias("id"), F.col("seq").alias("insert_seq")).where("id IS NOT NULL")
     new = new.groupBy("id").agg(F.min("insert_seq").alias("insert_seq"))
-    stored, rejected = store.insert_records(m(spark, d), new)
+    stored, rejected = store.insert_records(n(spark, d), new)
     return stored.select("id", F.lit(False).alias("taken")).unionByName(rejected.select("id", F.lit(True).alias("taken")))
 
 
@@ -246,7 +251,7 @@ def vec_batch_topk(spark, d):
 
 @query(f"{_near_sql((3,), source='(SELECT v.* FROM v JOIN m USING (id) WHERE NOT archived) v')} {_OUT_SQL} WHERE rank <= 10")
 def vec_topk_prefilter(spark, d):
-    return _out(vectors.nearest(v(spark, d).join(store.visible(m(spark, d)).select("id"), "id", "left_semi"), q(spark, d, 3), 10))
+    return _out(vectors.nearest(v(spark, d).join(store.visible(n(spark, d)).select("id"), "id", "left_semi"), q(spark, d, 3), 10))
 
 
 @query(f"{_near_sql((3,))} SELECT r.rank, m.id, round(1 / (1 + distance), 6) AS similarity, m.memory_type FROM r JOIN m ON m.id = r.id WHERE rank <= 50 AND NOT archived AND memory_type = 'fact' AND created_at >= '2024-01-01'")
@@ -271,7 +276,7 @@ def vec_ip_topk(spark, d):
 @query(f"""WITH {M_SQL}, {V_SQL}, {q_sql(3)}, x AS (SELECT m.source_session AS document, round(min({L2}), 9) AS distance FROM v JOIN m ON m.id = v.id, q WHERE m.source_session IS NOT NULL GROUP BY 1)
 SELECT row_number() OVER (ORDER BY distance, document) AS rank, document, round(distance, 6) AS distance FROM x QUALIFY rank <= 10""")
 def vec_multidoc(spark, d):
-    docs = m(spark, d).select("id", F.col("source_session").alias("document"))
+    docs = n(spark, d).select("id", F.col("source_session").alias("document"))
     return vectors.nearest_documents(v(spark, d), docs, q(spark, d, 3), 10).select(rank(), "document", F.round("distance", 6).alias("distance"))
 
 
@@ -425,7 +430,7 @@ def kg_insert_ignore(spark, d):
 
 @query(f"WITH {T_SQL}, {M_SQL} SELECT triple_id, memory_id FROM t WHERE memory_id IS NULL OR memory_id IN (SELECT id FROM m)")
 def kg_fk_check(spark, d):
-    return graph.with_known_memory(t(spark, d), m(spark, d)).select("triple_id", "memory_id")
+    return graph.with_known_memory(t(spark, d), n(spark, d)).select("triple_id", "memory_id")
 
 
 @query(f"WITH {T_SQL} SELECT triple_id, memory_id FROM t WHERE memory_id IS NULL OR memory_id NOT IN (SELECT lower(trim(id)) FROM oplog WHERE op = 'delete' AND trim(id) <> '')")
@@ -537,18 +542,18 @@ def vec_integer_l2(spark, d):
 
 @query(f"WITH {M_SQL} SELECT id, len(tags) AS n, tags = from_json(to_json(tags), '[\"VARCHAR\"]') AS same FROM m")
 def tags_json(spark, d):
-    return m(spark, d).select("id", F.size("tags").cast("long").alias("n"), (scalars.tags_from_json(F.to_json("tags")) == F.col("tags")).alias("same"))
+    return n(spark, d).select("id", F.size("tags").cast("long").alias("n"), (scalars.tags_from_json(F.to_json("tags")) == F.col("tags")).alias("same"))
 
 
 @query(f"WITH {M_SQL} SELECT id, importance, round(decay_score, 6) AS decay_score FROM m WHERE NOT archived AND importance < 4 AND decay_score < 0.9")
 def mem_eligible(spark, d):
-    return store.eligible(m(spark, d), 4.0, 0.9).select("id", "importance", F.round("decay_score", 6).alias("decay_score"))
+    return store.eligible(n(spark, d), 4.0, 0.9).select("id", "importance", F.round("decay_score", 6).alias("decay_score"))
 
 
 @query(f"WITH {M_SQL} SELECT memory_type, count(*) AS n FROM m WHERE NOT archived AND id NOT IN (SELECT lower(trim(id)) FROM oplog WHERE op IN ('archive', 'delete') AND trim(id) <> '') GROUP BY memory_type")
 def mem_after_forget(spark, d):
     gone = table(spark, d, "oplog").where("op IN ('archive', 'delete')").select(reference_key(F.col("id")).alias("id")).where("id IS NOT NULL").distinct()
-    return store.stats_by_type(m(spark, d).join(gone, "id", "left_anti"))
+    return store.stats_by_type(n(spark, d).join(gone, "id", "left_anti"))
 
 
 @query(f"WITH {T_SQL}, n AS (SELECT DISTINCT object AS name FROM t WHERE object IS NOT NULL) SELECT name, name IN (SELECT subject FROM t WHERE subject IS NOT NULL) AS known FROM n")
@@ -587,12 +592,12 @@ def vec_range_most(spark, d):
 
 @query(f"WITH {M_SQL} SELECT '{{' || string_agg('\"' || memory_type || '\":' || n, ',' ORDER BY memory_type) || '}}' AS by_type FROM (SELECT memory_type, count(*) AS n FROM m WHERE NOT archived GROUP BY memory_type)")
 def mem_stats_map(spark, d):
-    return store.stats(m(spark, d)).select(F.to_json("by_type").alias("by_type"))
+    return store.stats(n(spark, d)).select(F.to_json("by_type").alias("by_type"))
 
 
 @query(f"WITH {M_SQL} SELECT count(*) FILTER (NOT archived AND decay_score > 0.01) AS n_decayed, count(*) FILTER (NOT archived AND importance < 4) AS n_eligible FROM m")
 def mem_affected_rows(spark, d):
-    rows = m(spark, d)
+    rows = n(spark, d)
     return store.apply_decay(rows, 0.95).agg(F.count_if("decayed").alias("n_decayed")).withColumn("n_eligible", store.eligible(rows, 4.0).agg(F.count("*")).scalar())
 
 
