@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import time
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ BUCKET_TERMS, FEWEST, MOST = 2_000_000, 8, 4096
 #: Occurrences of a bucket from which its rows are dealt over several files; a term in every row is split with it.
 FILE_TERMS = 8_000_000
 
+#: Statistics of finished generations by folder, which never change.
+_TOTALS: dict[str, dict] = {}
+
 _POSTINGS = "term string, id string, content_at array<int>, tags_at array<int>, length int, archived boolean, insert_seq bigint, g bigint, bucket int"
 
 
@@ -53,7 +57,10 @@ class TextIndex:
 
     def total(self, generation: int) -> dict:
         """``n``, ``terms``, ``buckets`` and ``source`` of the index as of a generation."""
-        return self.spark.read.parquet(f"{self._names[generation]}/total").first().asDict()
+        folder = self._names[generation]
+        if folder not in _TOTALS:
+            _TOTALS[folder] = self.spark.read.parquet(f"{folder}/total").first().asDict()
+        return _TOTALS[folder]
 
     @property
     def source(self) -> int:
@@ -112,12 +119,18 @@ class TextIndex:
     def _bucket(term: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    def postings(self, words: list[tuple[str, bool]] | None = None) -> DataFrame:
+    @staticmethod
+    def _bucket_of(word: str, buckets: int) -> int:
+        """``_bucket`` of a word at hand: the same hash and seed."""
+        code = xxhash.xxh64_intdigest(word.encode(), 42)
+        return (code - (1 << 64) if code >= 1 << 63 else code) % buckets
+
+    def postings(self, words: list[tuple[str, bool]] | None = None, known: list[int] | None = None) -> DataFrame:
         """``(term, id, content_at, tags_at, length, archived, insert_seq)`` of the given words, a prefix where marked; of all without.
 
         Exact words name their buckets, which prunes folders, and sorted terms prune row groups; a prefix prunes row groups of all buckets.
         """
-        known = self.generations()
+        known = self.generations() if known is None else known
         if not known:
             return self.spark.createDataFrame([], _POSTINGS).drop("g", "bucket")
         rows = None
@@ -131,8 +144,8 @@ class TextIndex:
                 hit = hit | F.col("term").startswith(p)
             rows = rows.where(hit)
             if not any(prefix for _, prefix in words):
-                numbers = self.spark.range(1).select(*[self._bucket(F.lit(w), self.total(known[-1])["buckets"]) for w in exact]).first() if exact else []
-                rows = rows.where(F.col("bucket").isin(*sorted(set(numbers)))) if exact else rows
+                buckets = self.total(known[-1])["buckets"]
+                rows = rows.where(F.col("bucket").isin(*sorted({self._bucket_of(w, buckets) for w in exact}))) if exact else rows
         if len(known) > 1:  # what a later generation has again, or has removed
             later = self.spark.read.parquet(*[f"{self._names[g]}/docs" for g in known[1:]]).groupBy("id").agg(F.max("g").alias("newest"))
             rows = rows.join(later, "id", "left").where("newest IS NULL OR g >= newest")
@@ -151,7 +164,7 @@ class TextIndex:
         if parsed is None or not known or not parsed.phrases:
             return self.spark.createDataFrame([], "rank int, id string, score double" if limit is not None else "id string, score double")
         words = list(dict.fromkeys((w, p.prefix and i == len(p.words) - 1) for p in parsed.phrases for i, w in enumerate(p.words)))
-        rows = self.postings(words)
+        rows = self.postings(words, known)
         named = {}
         if len(words) == 1 and not words[0][1]:
             docs = rows.withColumnsRenamed({"content_at": "c0", "tags_at": "t0"})

@@ -1,6 +1,7 @@
 """The stored index gives what a search of the texts gives, whatever the generations it came by."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_fts import BAD, QUERIES, docs  # noqa: F401
 
 from mnestra.operators import fts
@@ -46,3 +47,9 @@ def test_empty(spark, docs, tmp_path):  # noqa: F811
     assert index.search("x").count() == 0 and index.source == -1 and index.postings().count() == 0
     index.refresh(docs.limit(0))
     assert index.search("x").count() == 0 and index.search("x", None).count() == 0
+
+
+def test_buckets_of_words_at_hand(spark):
+    words = ["cache", "", "漢字", "x" * 100, "é"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", TextIndex._bucket(F.col("w"), 13).alias("b")).collect()
+    assert [r["b"] for r in got] == [TextIndex._bucket_of(r["w"], 13) for r in got]
